@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from framewright.llm import op6_bpe, op9_minhash
+from framewright.llm import op2_suffix, op6_bpe, op9_minhash
 
 QUERIES = {
+    "op2_suffix_dedup": op2_suffix.query,
     "op6_bpe": op6_bpe.query,
     "op9_minhash": op9_minhash.query,
 }
