@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from framewright.llm import op2_suffix, op6_bpe, op9_minhash
+from framewright.llm import op2_suffix, op3_language, op4_mixing, op5_quality, op6_bpe, op9_minhash, op10_substring
 
 QUERIES = {
     "op2_suffix_dedup": op2_suffix.query,
+    "op3_language": op3_language.query,
+    "op4_mixing": op4_mixing.query,
+    "op5_quality": op5_quality.query,
     "op6_bpe": op6_bpe.query,
     "op9_minhash": op9_minhash.query,
+    "op10_substring_dedup": op10_substring.query,
 }
 SQL = {
+    "op4_mixing": op4_mixing.SQL,
     "op9_minhash": op9_minhash.SQL,
 }

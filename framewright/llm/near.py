@@ -25,15 +25,13 @@ from pyspark.sql.types import LongType
 from framewright.llm.common import Scratch, connected_components
 from framewright.llm.textkit import MinHash
 
-#: 32 bands of 6 rows find a pair of similarity 0.8 with probability 0.99994, of 0.85 with 0.9999997.
-BANDS, ROWS, BITS = 32, 6, 2
+#: Documents: 32 bands of 6 rows find a pair of similarity 0.8 with probability 0.99994, of 0.85 with 0.9999997.
+DOCUMENTS = (32, 6, 2)
+#: Paragraphs: 16 bands of 4 rows find a pair of similarity 0.8 with probability 0.9998.
+PARAGRAPHS = (16, 4, 2)
 
 
-def minhash() -> MinHash:
-    return MinHash(BANDS, ROWS, BITS)
-
-
-def estimate(a: str, b: str, bits: int = BITS, size: int = BANDS * ROWS) -> Column:
+def estimate(a: str, b: str, bits: int, size: int) -> Column:
     """Similarity from the equal b-bit minima of two packed signatures, corrected for chance collisions."""
     fold = f"aggregate(zip_with({a}, {b}, (x, y) -> ~(x ^ y)), 0, (n, z) -> n + bit_count(z & shiftright(z, 1) & {0x5555555555555555}L))"
     if bits == 1:
@@ -49,19 +47,20 @@ def shared(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-def near_components(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch) -> DataFrame:
+def near_components(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, sketch: MinHash) -> DataFrame:
     """(id, keys array<long>, sig array<long>), one row for each class of equal non-empty sets -> (node, component).
 
     ``sets_of`` takes a frame (id) and returns (id, items): the sorted distinct shingle hashes of those ids.
     Only ids with a link are returned. percent: links have 100 * intersection >= percent * union.
     """
-    slack = percent / 100 - 0.20  # over five standard deviations of the estimate
+    p, bits, size = percent / 100, sketch.bits, sketch.a.size
+    slack = p - 5 * (p * (1 - p) / size) ** 0.5 / (1 - 2.0**-bits)  # five standard deviations of the estimate below
     rows = reps.select("id", F.explode("keys").alias("key"))
     spans = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     hits = scratch.cut(rows.join(spans, "key"), "buckets")  # members of the buckets with more than one
     pairs = hits.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
     sig = reps.select("id", "sig")
-    close = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(estimate("sa", "sb") >= slack).select("a", "b")
+    close = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(estimate("sa", "sb", bits, size) >= slack).select("a", "b")
     close = scratch.cut(close, "pairs")
     sets = scratch.cut(sets_of(hits.select("id").distinct()), "sets")
 
@@ -76,7 +75,7 @@ def near_components(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
     left = scratch.cut(labelled.join(mixed, "key").join(sig, "id"), "mixed")
     one, two = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "sig"))) for s in "12")
-    rest = one.join(two, "key").where((F.col("c1") < F.col("c2")) & (estimate("sig1", "sig2") >= slack))
+    rest = one.join(two, "key").where((F.col("c1") < F.col("c2")) & (estimate("sig1", "sig2", bits, size) >= slack))
     rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(close, ["a", "b"], "left_anti")
     more = scratch.cut(confirmed(rest), "more")
     if more.isEmpty():
