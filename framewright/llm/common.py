@@ -17,12 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a folder of this process only where that is unset, as in local tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="framewright-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        app = spark.sparkContext.applicationId
+        root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="framewright-"))
     return root
 
 

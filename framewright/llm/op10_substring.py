@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from framewright.llm import textkit as K
 from framewright.llm.common import Scratch, table
@@ -109,8 +110,9 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
-def cleaned(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove) -> CLEANED rows."""
+def cleaned(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove) -> CLEANED rows and ``carry``."""
+    carried = [docs.schema[c] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,9 +129,15 @@ def cleaned(docs: DataFrame) -> DataFrame:
                     if spans:
                         kept = kept.removesuffix(b"\n")
                     rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), text if text is None else kept.decode()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)), *(part.column(4 + k) for k in range(len(carry)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
-    return docs.select("doc_id", "text", "again", "near").mapInArrow(run, CLEANED)
+    schema = StructType([*_parse(CLEANED), *carried])
+    return docs.select("doc_id", "text", "again", "near", *carry).mapInArrow(run, schema)
+
+
+def _parse(ddl: str) -> list[StructField]:
+    kinds = {"long": LongType(), "string": StringType()}
+    return [StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))]
 
 
 def removed_spans(data: bytes, again: set[int], near: set[int]) -> list[tuple[int, int]]:
@@ -157,10 +165,10 @@ def removed_spans(data: bytes, again: set[int], near: set[int]) -> list[tuple[in
     return spans
 
 
-def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """CLEANED for every row of (doc_id, text); other columns are not carried."""
+def remove_repeats(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """CLEANED for every row of (doc_id, text), with the columns in ``carry``."""
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", "text", *carry)
     rows = scratch.cut(hashed(docs), "hashed")
     # Sentences: all but the first occurrence of each hash. Counted and reduced before anything is joined.
     flat = rows.select("doc_id", F.posexplode("hs").alias("pos", "h")).where("h <> 0")
@@ -176,7 +184,7 @@ def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = ids.join(at, "id").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_set("id").alias("wanted"))
-        return paragraph_sets(docs.join(wanted, "doc_id"))
+        return paragraph_sets(docs.select("doc_id", "text").join(wanted, "doc_id"))
 
     found = near_components(reps, sets_of, percent, scratch, K.MinHash(*PARAGRAPHS))
     named = at.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -185,7 +193,7 @@ def remove_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     near = where.join(named, "id").where("struct(doc_id, pos) <> f").groupBy("doc_id").agg(F.collect_set("pos").alias("near"))
     near = scratch.cut(near, "near")
     scratch.drop(where, at, reps, found)
-    return cleaned(docs.join(again.join(near, "doc_id", "full_outer"), "doc_id", "left"))
+    return cleaned(docs.join(again.join(near, "doc_id", "full_outer"), "doc_id", "left"), carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ MAX_REGISTRY = 100_000
 def canonical(text: Column) -> Column:
     """Paragraphs stay apart by line feeds; everything else that may differ between copies of a licence is folded."""
     t = F.lower(text)
-    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|copr\.)[^\p{L}\n]*\d{4}[^\n]*$", "")
+    t = F.regexp_replace(t, r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|copr\.)[^\n]*\d{4}[^\n]*$", "")
     t = F.regexp_replace(t, r"licen[cs](e|ed|es|ing)\b", "licens$1")
     t = F.regexp_replace(t, r"https://", "http://")
     t = F.regexp_replace(t, r"\(c\)|©", "copyright")
@@ -88,7 +88,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _canon_sql(x: str) -> str:
     t = f"lower({x})"
     for pattern, to in (
-        (r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|copr\.)[^\p{L}\n]*\d{4}[^\n]*$", ""),
+        (r"(?m)^[^\p{L}\p{N}\n]*(copyright|\(c\)|©|copr\.)[^\n]*\d{4}[^\n]*$", ""),
         (r"licen[cs](e|ed|es|ing)\b", r"licens\1"),
         (r"https://", "http://"),
         (r"\(c\)|©", "copyright"),
