@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import math
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from framewright.functions import soa
 from framewright.functions.hashing import content_hash
@@ -30,7 +31,7 @@ HEADS = """h AS (SELECT o_orderkey AS k, CAST(o_custkey AS BIGINT) AS traj_id, C
   CASE WHEN o_orderkey % 2 = 0 THEN CAST(0.25 AS DOUBLE) END AS timestep, CAST(o_orderkey % 100 AS DOUBLE) AS frame_index, CAST(o_orderkey % 8 AS DOUBLE) AS neb_bead, CAST(o_orderkey % 3 AS DOUBLE) AS neb_band,
   CAST(o_orderkey % 3 - 1 AS DOUBLE) AS charge, CASE WHEN o_orderkey % 5 = 0 THEN CAST(2.0 AS DOUBLE) END AS magmom FROM orders)"""
 ATOMS = f"""a AS (SELECT h.*, {_CASE} AS symbol, l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber FROM lineitem JOIN h ON l_orderkey = k)"""
-SPECIES = f"""s AS (SELECT k, traj_id, frame_idx, symbol, count(*) AS n, CAST(count(*) AS BIGINT) * {_MASS} AS m FROM a WHERE symbol IS NOT NULL GROUP BY ALL)"""
+SPECIES = f"""s AS (SELECT k, traj_id, frame_idx, symbol, count(*) AS n, CAST(count(*) AS BIGINT) * {_MASS} AS m FROM a WHERE symbol IS NOT NULL GROUP BY k, traj_id, frame_idx, symbol)"""
 FRAMES = f"""{HEADS}, {ATOMS}, {SPECIES},
 p AS (SELECT k, sum(n) AS natoms, string_agg(concat(symbol, ':', n), '|' ORDER BY symbol) AS formula, sum(m) AS m FROM s GROUP BY 1),
 x AS (SELECT k, max(CASE WHEN status <> 'O' THEN sqrt(l_discount * l_discount + l_tax * l_tax + (l_quantity / 50) * (l_quantity / 50)) END) AS fmax, max(status) AS st FROM a WHERE symbol IS NOT NULL GROUP BY 1),
@@ -272,8 +273,6 @@ def traj_exists_guard(spark, sf_dir):
 @query("extxyz_lines", f"WITH {HEADS}, {ATOMS} SELECT traj_id, frame_idx, printf('%-2s %16.10f %16.10f', symbol, l_quantity, l_discount * 100) AS line FROM a WHERE symbol IS NOT NULL")
 def extxyz_lines(spark, sf_dir):
     """Atom lines with exact digits, in Arrow batches."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
 
     @F.pandas_udf(StringType())
     def line(symbol: pd.Series, x: pd.Series, z: pd.Series) -> pd.Series:
