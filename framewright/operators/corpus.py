@@ -13,7 +13,7 @@ from framewright.errors import ConcurrentCommit, CorpusError, MissingFrame, Pars
 from framewright.functions.hashing import hash_bytes
 from framewright.functions.soa import rcso_valid
 from framewright.operators import extract
-from framewright.operators.project import project_parsed
+from framewright.operators.project import project_parsed, with_frame_idx
 from framewright.operators.store import Store
 from framewright.plans import dedup
 from framewright.plans.select import Select, select_keys
@@ -135,6 +135,41 @@ class Corpus:
     def append_frames(self, traj_id: int, frames: Iterable[con.Frame], source: str = "") -> int:
         return self.append_text(traj_id, "".join(map(con.render, frames)), source)
 
+    def append_atoms(self, atoms: DataFrame, source: str = "") -> dict[str, int]:
+        """New trajectories from a table of atoms: traj_id, frame_idx, symbol, x, y, z and optionally atom_id, fixed, mass,
+        velocity, force (structs of x, y, z), and per frame metadata (JSON), boxl and angles (arrays of three).
+
+        Atoms of a frame are ordered by atom_id, then position; frames are numbered from 0 in the order of frame_idx. Texts are canonical.
+        """
+
+        def column(name: str, kind: str, default):
+            c = (F.col(name) if name in atoms.columns else F.lit(None)).cast(kind)
+            return c if default is None else F.coalesce(c, default)
+
+        xyz = "struct<x:double,y:double,z:double>"
+        atom = F.struct(column("atom_id", "long", F.lit(0)).alias("atom_id"), *(F.col(c).cast("double").alias(c) for c in "xyz"), F.col("symbol"), column("fixed", "long", F.lit(0)).alias("fixed"), column("mass", "double", F.lit(0.0)).alias("mass"), column("velocity", xyz, None).alias("velocity"), column("force", xyz, None).alias("force"))
+        three = lambda x: F.array(*[F.lit(x)] * 3)
+        per = atoms.groupBy(*KEYS).agg(F.array_sort(F.collect_list(atom)).alias("atoms"), F.first(column("metadata", "string", F.lit("{}"))).alias("metadata"), F.first(column("boxl", "array<double>", three(0.0))).alias("boxl"), F.first(column("angles", "array<double>", three(90.0))).alias("angles"))
+        per = with_frame_idx(per.withColumnRenamed("frame_idx", "given"), "traj_id", "given").select("traj_id", "frame_idx", "metadata", "boxl", "angles", "atoms")
+        trajectories = atoms.select("traj_id").distinct()
+        self._guard(trajectories)
+
+        def run(batches):
+            import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_schema
+
+            schema = to_arrow_schema(con.PARSED)
+            vector = lambda v: None if v is None else (v["x"], v["y"], v["z"])
+            for batch in batches:
+                for r in batch.to_pylist():
+                    own = [con.Atom(a["symbol"], a["x"], a["y"], a["z"], a["fixed"], a["atom_id"], a["mass"], vector(a["velocity"]), vector(a["force"])) for a in r["atoms"]]
+                    text = con.render(con.Frame("", r["metadata"], list(r["boxl"]), list(r["angles"]), ["", ""], own))
+                    yield con._batch([next(con.parse(text)).row(r["traj_id"], r["frame_idx"])], schema, pa)
+
+        staged = self._stage(per.mapInArrow(run, con.PARSED))
+        counts = staged["rows"].groupBy("traj_id").agg(F.count("*").alias("n_frames"))
+        return self._commit(staged, lambda seq: counts.select("traj_id", "n_frames", F.lit(source).alias("source"), F.lit(seq).cast("long").alias("commit_seq")), lambda: self._guard(trajectories), 8)
+
     def ingest_directory(self, folder: str, start_id: int = 1) -> list[tuple[int, int, str]]:
         """(traj_id, n_frames, path) of the .con and .convel files of a folder, in path order, ids counted from start_id."""
         paths = sorted(os.path.join(folder, p) for p in os.listdir(folder) if p.endswith((".con", ".convel")))

@@ -277,3 +277,14 @@ def test_command_line(spark, tmp_path):
     assert call("shard-select", tmp_path / "n", "--traj", 3)[0] == "2 frames"
     with pytest.raises(CorpusError):
         call("shard-ingest", tmp_path / "n", tmp_path / "x.con", "--shard", 0, "--start-id", 3)
+
+
+def test_tables_of_atoms_are_ingested(corpus, spark):
+    rows = [(3, f, s, float(k), 0.0, 1.0, k, (0.0, 3.0, 4.0) if f == 20 else None) for f in (10, 20) for k, s in enumerate(["Cu", "H", "Cu"])]
+    atoms = spark.createDataFrame(rows, "traj_id long, frame_idx long, symbol string, x double, y double, z double, atom_id long, force struct<x:double,y:double,z:double>")
+    assert corpus.append_atoms(atoms, "table") == {"trajectories": 1, "frames": 2}
+    got = corpus.frames.orderBy("frame_idx").collect()
+    assert [(r.frame_idx, r.formula, r.fmax) for r in got] == [(0, "Cu:2|H:1", None), (1, "Cu:2|H:1", 5.0)]
+    assert corpus.traj_meta(3).source == "table" and corpus.positions((3, 1))[0] == (0.0, 0.0, 1.0)
+    with pytest.raises(TrajectoryExists):
+        corpus.append_atoms(atoms)
