@@ -6,7 +6,8 @@ full sets:
 
 1. each band bucket's members are paired with its smallest and largest member (linear in the bucket);
 2. confirmed links make components;
-3. buckets that still hold several components (few) are joined on themselves across components only.
+3. buckets that still hold several components (few) are joined on themselves across components only; estimate and
+   confirmation are conditions of that join, so of its pairs only links become rows.
 
 Connected members need no further comparison, since only components are asked for; so no true link between
 different components is lost, and a bucket of n near copies makes 2n pairs rather than n*n/2.
@@ -26,19 +27,20 @@ from framewright.llm.common import Scratch, connected_components
 from framewright.llm.textkit import MinHash
 
 #: Documents: 32 bands of 6 rows find a pair of similarity 0.8 with probability 0.99994, of 0.85 with 0.9999997.
-DOCUMENTS = (32, 6, 2)
+DOCUMENTS = (32, 6, 4)
 #: Paragraphs: 16 bands of 4 rows find a pair of similarity 0.8 with probability 0.9998.
 PARAGRAPHS = (16, 4, 2)
 
 
 def estimate(a: str, b: str, bits: int, size: int) -> Column:
-    """Similarity from the equal b-bit minima of two packed signatures, corrected for chance collisions."""
-    fold = f"aggregate(zip_with({a}, {b}, (x, y) -> ~(x ^ y)), 0, (n, z) -> n + bit_count(z & shiftright(z, 1) & {0x5555555555555555}L))"
-    if bits == 1:
-        fold = f"aggregate(zip_with({a}, {b}, (x, y) -> ~(x ^ y)), 0, (n, z) -> n + bit_count(z))"
-    per = 64 // bits
-    pad = -size % per
-    return (F.expr(fold) - F.lit(pad)) / F.lit(float(size)) * F.lit(2**bits / (2**bits - 1)) - F.lit(1 / (2**bits - 1))
+    """Similarity from the equal b-bit minima of two packed signatures, corrected for chance collisions. Unrolled, so it compiles."""
+    mask = sum(1 << k for k in range(0, 64, bits))
+    mask = mask - (1 << 64) if mask >> 63 else mask
+    z = "~({a}[{k}] ^ {b}[{k}])"
+    parts = [" & ".join([*(f"shiftright({z.format(a=a, b=b, k=k)}, {s})" for s in range(bits)), f"{mask}L"]) for k in range(-(-size * bits // 64))]
+    equal = " + ".join(f"bit_count({p})" for p in parts)
+    pad = -size % (64 // bits)
+    return (F.expr(equal) - F.lit(pad)) / F.lit(float(size)) * F.lit(2**bits / (2**bits - 1)) - F.lit(1 / (2**bits - 1))
 
 
 @F.pandas_udf(LongType())
@@ -54,7 +56,8 @@ def near_components(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     Only ids with a link are returned. percent: links have 100 * intersection >= percent * union.
     """
     p, bits, size = percent / 100, sketch.bits, sketch.a.size
-    slack = p - 5 * (p * (1 - p) / size) ** 0.5 / (1 - 2.0**-bits)  # five standard deviations of the estimate below
+    hit = p + (1 - p) * 2.0**-bits
+    slack = p - 4 * (hit * (1 - hit) / size) ** 0.5 / (1 - 2.0**-bits)  # four standard deviations of the estimate below
     rows = reps.select("id", F.explode("keys").alias("key"))
     spans = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     hits = scratch.cut(rows.join(spans, "key"), "buckets")  # members of the buckets with more than one
@@ -73,11 +76,14 @@ def near_components(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
     found = scratch.cut(connected_components(links, scratch), "components")
     labelled = hits.select("key", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
     mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    left = scratch.cut(labelled.join(mixed, "key").join(sig, "id"), "mixed")
-    one, two = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "sig"))) for s in "12")
-    rest = one.join(two, "key").where((F.col("c1") < F.col("c2")) & (estimate("sig1", "sig2", bits, size) >= slack))
-    rest = rest.select(F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b")).distinct().join(close, ["a", "b"], "left_anti")
-    more = scratch.cut(confirmed(rest), "more")
+    # The rest of these buckets is joined on itself, with everything decided inside the join: different components, the first
+    # band that the pair shares, the estimate, and the exact sets. Only links leave it.
+    left = scratch.cut(labelled.join(mixed, "key").join(reps.select("id", "keys", "sig"), "id").join(sets, "id"), "mixed")
+    one, two = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "keys", "sig", "items"))) for s in "12")
+    first = F.expr("case " + " ".join(f"when keys1[{k}] = keys2[{k}] then keys1[{k}]" for k in range(sketch.bands)) + " end = key")
+    exact = F.expr(f"100 * size(array_intersect(items1, items2)) >= {percent} * (size(items1) + size(items2) - size(array_intersect(items1, items2)))")
+    rest = one.join(two, "key").where((F.col("c1") < F.col("c2")) & (estimate("sig1", "sig2", bits, size) >= slack) & first & exact)
+    more = scratch.cut(rest.select(F.col("id1").alias("a"), F.col("id2").alias("b")), "more")
     if more.isEmpty():
         scratch.drop(hits, close, sets, left, links, more)
         return found

@@ -51,13 +51,13 @@ def _regions(n: str, retry: int) -> str:
 
 
 def _place(d: str, salt: int) -> str:
-    """16 bits: four for the digest's cell in each of the four sub-tables."""
-    return f"hash({d}, {salt + 100})"
+    """64 bits, one for each cell of a region; set for the digest's cell in each of the four sub-tables."""
+    return _let(f"hash({d}, {salt + 100})", "w", " | ".join(f"shiftleft(1L, {k * SUB} + (shiftright(w, {4 * k}) & {SUB - 1}))" for k in range(4)))
 
 
 def _at(place: str, i: str) -> str:
     """Whether a digest of that place belongs in cell i of its region."""
-    return f"(shiftright({place}, 4 * ({i} div {SUB})) & {SUB - 1}) = {i} % {SUB}"
+    return f"getbit({place}, {i}) = 1Y"
 
 
 def _sketch(digests: str, regions: str, salt: int) -> str:
@@ -84,8 +84,8 @@ _EMPTY = "forall(s.cells, z -> z.c = 0 and z.x = 0L)"
 def _peel(region: str, salt: int, rounds: int = 24) -> str:
     """How many digests one region gives up, -1 if cells remain. Every round takes out all that is pure."""
     left = f"transform(s.cells, (z, i) -> aggregate(pure, z, (a, e) -> if({_at('e.p', 'i')}, named_struct('c', a.c - e.c, 'x', a.x ^ e.x), a)))"
-    step = _let(_pure("s.cells", salt), "pure", f"if(size(pure) = 0, s, named_struct('cells', {left}, 'n', s.n + size(pure)))")
-    state = f"aggregate(sequence(1, {rounds}), named_struct('cells', {region}, 'n', 0), (s, k) -> if({_EMPTY}, s, {step}))"
+    step = _let(_pure("s.cells", salt), "pure", f"if(size(pure) = 0, named_struct('cells', s.cells, 'n', s.n, 'more', false), named_struct('cells', {left}, 'n', s.n + size(pure), 'more', true))")
+    state = f"aggregate(sequence(1, {rounds}), named_struct('cells', {region}, 'n', 0, 'more', true), (s, k) -> if(s.more, {step}, s))"
     return _let(state, "s", f"if({_EMPTY}, s.n, -1)")
 
 

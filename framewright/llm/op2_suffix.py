@@ -37,10 +37,11 @@ from framewright.llm.common import Scratch, table
 
 LENGTH, GRAM = 400, 145
 #: Suffix records of one exchanged run; about this many anchors are merged by a task at once.
-GROUP_ROWS = 60_000
+GROUP_ROWS = 30_000
 #: Anchors with more occurrences are split by window offset and by the bytes common to the windows of a slice.
 HOT, SLICE = 4096, 32
-SEGMENT_WINDOWS = 4_000_000
+#: Windows compared at once: the arrays for them take about 80 bytes each.
+SEGMENT_WINDOWS = 500_000
 
 
 def _sliding(values: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:

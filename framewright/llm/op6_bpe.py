@@ -97,47 +97,58 @@ class Bpe:
         return level[0] if level else []
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if printable Latin-1, else the next code point from 256 on."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
+
+
 @lru_cache(4)
 def codec(path: str) -> Callable[[str], tuple[int, str, str]]:
     """text -> (number of tokens, decimal ids joined by a space, decoded text), made once per worker."""
     from tokenizers import Tokenizer
-    from tokenizers.pre_tokenizers import ByteLevel
 
     tok, bpe = Tokenizer.from_file(path), Bpe(path)
     tok.no_truncation()
     tok.no_padding()
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
     split = regex.compile(SPLIT).findall
-    to_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-    memo: dict[str, tuple[int, str, str]] = {}
-
-    def tokens_of(piece: str) -> list[str]:
-        mapped = "".join(x for x, _ in to_bytes.pre_tokenize_str(piece))
+    model = tok.model  # the library's own merges, for pieces that need no tree
+    spell = _byte_letters()
+
+    def one(piece: str) -> tuple[str, str]:
+        mapped = piece if piece.isascii() else "".join([spell[b] for b in piece.encode()])
+        if len(mapped) <= LEAF:
+            found = model.tokenize(mapped)
+            return " ".join([str(t.id) for t in found]), " ".join([t.value for t in found])
         symbols = list(mapped)
         symbols[-1] += bpe.suffix
-        return bpe.tree(symbols)
+        tokens = bpe.tree(symbols)
+        return " ".join([str(bpe.vocab[t]) for t in tokens]), " ".join(tokens)
+
+    class Memo(dict):
+        def __missing__(self, piece: str) -> tuple[str, str]:
+            got = one(piece)
+            if len(piece) <= LEAF:
+                self[piece] = got
+            return got
 
-    def one(piece: str) -> tuple[int, str, str]:
-        tokens = tokens_of(piece)
-        return len(tokens), " ".join([str(bpe.vocab[t]) for t in tokens]), " ".join(tokens)
+    memo = Memo()
 
     def encode(text: str) -> tuple[int, str, str]:
         if any(s in text for s in specials):
             e = tok.encode(text, add_special_tokens=False)
             return len(e.ids), " ".join(map(str, e.ids)), tok.decode(e.ids, skip_special_tokens=False)
         plain = PLAIN.fullmatch(text) is not None
-        text = unicodedata.normalize("NFC", text).lower() if plain else tok.normalizer.normalize_str(text)
-        got = []
-        for piece in split(text):
-            hit = memo.get(piece)
-            if hit is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                hit = one(piece)
-                if len(piece) <= LEAF:
-                    memo[piece] = hit
-            got.append(hit)
-        return sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+        pieces = split(unicodedata.normalize("NFC", text).lower() if plain else tok.normalizer.normalize_str(text))
+        if not pieces:
+            return 0, "", ""
+        if len(memo) > MEMO:
+            memo.clear()
+        ids, tokens = zip(*map(memo.__getitem__, pieces), strict=True)
+        ids = " ".join(ids)
+        return ids.count(" ") + 1, ids, " ".join(tokens)
 
     return encode
 

@@ -6,12 +6,12 @@ A label's points are sorted by their first projection and cut into blocks of abo
 is at distance sqrt(2 - 2 c), which bounds how far apart its unit-length projections can be: block pairs farther apart
 than that cannot hold a link, and are never formed. In a block pair, the points of the second block are sorted by each
 of ``PROJECTIONS`` projections; every query point counts, for each point, in how many its query-centred window holds
-it. Pairs that reach the count calibrated for the threshold are verified by cosine in double precision.
+it. Pairs that reach the count calibrated for the threshold are verified by cosine in double precision; links are counted
+and joined to components inside the block pair, which returns one row for each linked point.
 
 Calibration: for a pair exactly at the threshold a Gaussian projection of its difference falls into the window with
 probability p, independently for each projection, so its count is binomial; the count asked for is its largest value
-with P(count >= it) at least ``RECALL``. Closer pairs collide more often. Projections are whitened by the data's own
-spread, so windows stay selective.
+with P(count >= it) at least ``RECALL``. Closer pairs collide more often.
 
 The number of block pairs of one label grows with the square of its points divided by the blocks a window spans: the
 bound that one dimension can give. Each is a task of bounded size, so a hot label spreads over the cluster.
@@ -69,25 +69,34 @@ def candidates(queries: np.ndarray, points: np.ndarray, cosine: float, width: fl
 
 
 def block_links(pdf: pd.DataFrame, cosine: float) -> pd.DataFrame:
-    """Links of one block pair: rows with side 0 (queries) and 1 (points), both in block order; equal blocks once."""
-    out = []
+    """Links of one block pair: for each linked point its id, how many vectors it links with, and the smallest id it reaches here.
+
+    Links are counted where they are found; a dense group leaves one row a point, not one a pair. side 0 holds the queries
+    and side 1 the points; a block against itself has side 0 only.
+    """
+    out, own = [], bool(pdf["own"].iloc[0])
     for _, same in pdf.groupby(pdf["v"].map(len)):
-        x = {side: part for side, part in same.groupby("side")}
-        a = x.get(0)
-        b = x.get(1, a if len(pdf["side"].unique()) == 1 and bool(pdf["own"].iloc[0]) else None)
-        if a is None or b is None:
+        a = same[same["side"] == 0]
+        b = a if own else same[same["side"] == 1]
+        if not len(a) or not len(b):
             continue
         u, w = (np.stack(part["v"].to_numpy()).astype(np.float64) for part in (a, b))
         u, w = (m / np.linalg.norm(m, axis=1)[:, None] for m in (u, w))
         i, j = candidates(u, w, cosine)
-        if bool(pdf["own"].iloc[0]):
+        if own:
             i, j = i[i < j], j[i < j]
-        for k in range(0, i.size, 200_000):
-            s = slice(k, k + 200_000)
-            ok = np.einsum("ij,ij->i", u[i[s]], w[j[s]]) >= cosine
-            out.append(np.stack([a["id"].to_numpy()[i[s][ok]], b["id"].to_numpy()[j[s][ok]]], axis=1))
-    got = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": got.min(axis=1), "b": got.max(axis=1)})
+        ok = np.concatenate([np.einsum("ij,ij->i", u[i[k : k + 200_000]], w[j[k : k + 200_000]]) >= cosine for k in range(0, i.size, 200_000)] or [np.zeros(0, bool)])
+        i, j = i[ok], j[ok] + (0 if own else len(a))
+        ids, copies = (np.concatenate([p[c].to_numpy() for p in ((a,) if own else (a, b))]) for c in ("id", "copies"))
+        others = np.bincount(i, copies[j], ids.size) + np.bincount(j, copies[i], ids.size)
+        root, before = ids.copy(), None
+        while before is None or (root != before).any():
+            before = root.copy()
+            np.minimum.at(root, i, before[j])
+            np.minimum.at(root, j, before[i])
+        hit = np.flatnonzero(others)
+        out.append(pd.DataFrame({"id": ids[hit], "others": others[hit].astype(np.int64), "root": root[hit]}))
+    return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("id", "others", "root")})
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
@@ -106,7 +115,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     dot = F.aggregate(F.zip_with("v", F.slice(axis, 1, F.size("v")), lambda a, b: a * F.coalesce(b, F.lit(0.0))), F.lit(0.0), lambda s, x: s + x)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     length = F.sqrt(F.aggregate(F.slice(axis, 1, F.size("v")), F.lit(0.0), lambda s, x: s + x * x))
-    points = scratch.cut(classes.withColumn("p", dot / norm / length).select("id", "label", "v", "p"), "points")
+    points = scratch.cut(classes.withColumn("p", dot / norm / length).select("id", "label", "v", "p", "copies"), "points")
     # Blocks by quantiles of the first projection: bounds are a few numbers a label, found without collecting rows.
     sizes = points.groupBy("label").agg(F.count("*").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi"))
     fine = 4096
@@ -121,16 +130,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     one, two = (blocks.select("label", *(F.col(c).alias(c + k) for c in ("b", "s", "p0", "p1"))) for k in "xy")
     pairs = one.join(two, "label").where(f"struct(bx, sx) <= struct(by, sy) and p0y <= p1x + {reach} and p0x <= p1y + {reach}")
     pairs = scratch.cut(pairs.select("label", "bx", "sx", "by", "sy"), "pairs")
-    at = placed.join(cells.select("label", "cell", "b", "parts"), ["label", "cell"]).select("id", "label", "v", "b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("s"))
+    at = placed.join(cells.select("label", "cell", "b", "parts"), ["label", "cell"]).select("id", "label", "v", "copies", "b", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("s"))
     at = scratch.cut(at, "at")
     own = F.expr("bx = by and sx = sy").alias("own")
-    left = at.join(pairs, [at.label == pairs.label, at.b == pairs.bx, at.s == pairs.sx]).select(pairs.label, "bx", "sx", "by", "sy", own, F.lit(0).alias("side"), "id", "v")
-    right = at.join(pairs, [at.label == pairs.label, at.b == pairs.by, at.s == pairs.sy]).where("not (bx = by and sx = sy)").select(pairs.label, "bx", "sx", "by", "sy", own, F.lit(1).alias("side"), "id", "v")
-    links = left.unionByName(right).groupBy("label", "bx", "sx", "by", "sy").applyInPandas(lambda pdf: block_links(pdf, cosine), "a long, b long")
+    left = at.join(pairs, [at.label == pairs.label, at.b == pairs.bx, at.s == pairs.sx]).select(pairs.label, "bx", "sx", "by", "sy", own, F.lit(0).alias("side"), "id", "v", "copies")
+    right = at.join(pairs, [at.label == pairs.label, at.b == pairs.by, at.s == pairs.sy]).where("not (bx = by and sx = sy)").select(pairs.label, "bx", "sx", "by", "sy", own, F.lit(1).alias("side"), "id", "v", "copies")
+    links = left.unionByName(right).groupBy("label", "bx", "sx", "by", "sy").applyInPandas(lambda pdf: block_links(pdf, cosine), "id long, others long, root long")
     links = scratch.cut(links, "links")
-    found = scratch.cut(connected_components(links, scratch), "components")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    linked = both.join(classes.select(F.col("id").alias("b"), "copies"), "b").groupBy(F.col("a").alias("id")).agg(F.sum("copies").alias("others"))
+    found = scratch.cut(connected_components(links.select(F.col("id").alias("a"), F.col("root").alias("b")), scratch), "components")
+    linked = links.groupBy("id").agg(F.sum("others").alias("others"))
     named = classes.select("cls", "id", "copies").join(linked, "id", "left").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
     named = named.select("cls", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("component", "id").alias("component"))
     out = rows.select("vec_id", "cls").join(named, "cls", "left")
