@@ -1,19 +1,25 @@
-"""Substring dedup by paragraph MinHash banding: repeated paragraphs and passages are cut out, one occurrence stays.
+"""Substring dedup by paragraph MinHash banding and word windows: repeated paragraphs and passages are cut out, one occurrence stays.
 
-Paragraphs are lines. Two kinds of pieces are compared:
+Three kinds of pieces are compared; words are what white space parts:
 
-* whole paragraphs of at least ``MIN_WORDS`` words: MinHash bands (tuned so that a pair of similarity 0.8 is missed
-  with probability 2e-4) propose pairs, exact Jaccard of their five-word shingles confirms them at ``percent``, and
-  connected components group them; every paragraph but the first of its component is removed;
-* sentences of a paragraph (ended by . ! or ? and a blank), by the hash of their words: passages that were inserted
-  inside different paragraphs share no paragraph. A run of adjacent repeated pieces (sentences that occurred
-  before, removed paragraphs) is removed if it has at least ``MIN_WORDS`` words, so common short lines stay.
+* passages: every window of ``MIN_WORDS`` words, wherever it starts, so sentence and line ends do not matter. A window
+  is served by its anchor, the ``GRAM`` words of smallest hash in it (about one word in eleven is an anchor). Only
+  anchors that occur again matter; equal anchors with equal served words are one class, of which all but the
+  first are repeats; where an anchor has several classes, the windows of their firsts are compared by hash;
+* whole paragraphs (lines) of at least ``MIN_WORDS`` words: MinHash bands (tuned so that a pair of similarity 0.8 is
+  missed with probability 2e-4) propose pairs, exact Jaccard of their five-word shingles confirms them at ``percent``,
+  and connected components group them; every paragraph but the first of its component is removed;
+* sentences of a paragraph (ended by . ! or ? and a blank), by the hash of their words, so that repeated sentences in
+  another order are seen.
 
-"First" is the smallest (doc_id, position). Equal pieces are one class before bands or pairs are made, so a passage
-that a third of all documents share costs one counted row for each occurrence and no pairs.
+A run of words that were seen before (in a window, a sentence or a removed paragraph) is removed if it has at least
+``MIN_WORDS`` of them, so common short lines stay. "First" is the smallest (doc_id, position). Equal pieces are one class
+before bands or pairs are made, so a passage that a third of all documents share costs one counted row for each
+occurrence and no pairs.
 
 Cases: a null text stays null and counts as empty; an empty text is unchanged; repeats inside one document count;
-repeated rows of one doc_id are judged as one document; words are compared with A-Z folded.
+rows with the same doc_id and text are judged as one document, other rows of a doc_id each on their own (ordered by a
+hash of the text); a null doc_id stands after all others; words are compared with A-Z folded.
 """
 
 from __future__ import annotations
@@ -33,6 +39,12 @@ from framewright.llm.common import Scratch, table
 from framewright.llm.near import PARAGRAPHS, near_components
 
 MIN_WORDS = 30
+#: Words of an anchor. A window has MIN_WORDS - GRAM + 1 of them, which is below SPAN.
+GRAM = 10
+#: A run of windows is packed as first window * SPAN + number of windows.
+SPAN = 32
+#: What a document is, without nulls: its doc_id, and a hash of its text (and of whether the doc_id is null).
+ID = ["doc", "x"]
 _SENTENCE = re.compile(rb"[.!?]+ +")
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
@@ -58,11 +70,45 @@ def pieces(data: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
-HASHED = "doc_id long, hs array<long>, ps array<long>, keys array<array<long>>, sigs array<array<long>>"
+def identified(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """ID, doc_id, text and ``carry``."""
+    return docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("x"), "doc_id", "text", *carry)
+
+
+def anchors(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of texts -> anchor hash, class (the anchor and all words of the windows it serves), packed run of windows; and each text's first."""
+    n = hashes.size - MIN_WORDS + 1
+    none = np.zeros(0, np.int64)
+    if n <= 0:
+        return none, none, none, np.zeros(first.size, np.int64)
+    prefix = K.prefix_hash(hashes)
+    at = np.arange(hashes.size - GRAM + 1)
+    grams = K.span_hash(prefix, at, at + GRAM)
+    # The leftmost smallest of each MIN_WORDS - GRAM + 1 grams, by doubling.
+    low, width, size = grams, 1, MIN_WORDS - GRAM + 1
+    while width < size:
+        step = min(width, size - width)
+        take = low[step:] < low[:-step]
+        low, at = np.where(take, low[step:], low[:-step]), np.where(take, at[step:], at[:-step])
+        width += step
+    text = np.repeat(np.arange(first.size - 1), np.diff(first))
+    start = np.flatnonzero(text[:n] == text[MIN_WORDS - 1 :])
+    if not start.size:
+        return none, none, none, np.zeros(first.size, np.int64)
+    at, text = at[start], text[start]
+    head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
+    count = np.diff(np.append(head, start.size))
+    start, at, text = start[head], at[head], text[head]
+    whole = K.span_hash(prefix, start, start + count - 1 + MIN_WORDS)
+    cls = K.mix(whole ^ K.mix((at - start).astype(np.uint64) * K.U64(SPAN) + count.astype(np.uint64) + K.U64(1)))
+    return grams[at].view(np.int64), cls.view(np.int64), (start - first[text]) * SPAN + count, np.searchsorted(text, np.arange(first.size))
+
+
+HASHED = "doc long, x long, hs array<long>, ps array<long>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, at array<long>"
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """HASHED rows: sentence hashes by position (0: too short to count), and of the paragraphs of MIN_WORDS words hash, band keys and signature."""
+    """HASHED rows: sentence hashes by position (0: too short to count); of the paragraphs of MIN_WORDS words hash, band keys and signature; anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = K.MinHash(*PARAGRAPHS)
@@ -70,7 +116,7 @@ def hashed(docs: DataFrame) -> DataFrame:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 hs, lines, line_hash, count = [], [], [], []
-                for text in part.column(1):
+                for text in part.column(2):
                     data = (text.as_py() or "").encode()
                     hs.append([h if n >= 3 else 0 for h, n in (word_hash(data[a:b]) for a, b, _ in pieces(data))])
                     own = [(x, h) for x in data.split(b"\n") for h, n in [word_hash(x)] if n >= MIN_WORDS]
@@ -82,9 +128,46 @@ def hashed(docs: DataFrame) -> DataFrame:
                     keys[i:j], sigs[i:j] = sketch(*K.distinct(*K.shingles(*K.words(bytes_, offsets))))
                 ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
                 nested = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(line_hash, pa.int64()), K.matrix_array(keys), K.matrix_array(sigs))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(hs, pa.list_(pa.int64())), *nested], ["doc_id", "hs", "ps", "keys", "sigs"])
+                found = [anchors(*K.words(bytes_, offsets)) for _, _, bytes_, offsets in K.chunks(part.column(2))]
+                ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[3]) for x in found]))))
+                served = [K.list_array(np.concatenate([x[k] for x in found]), ends) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hs, pa.list_(pa.int64())), *nested, *served], [x.split()[0] for x in HASHED.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, HASHED)
+    return docs.select(*ID, "text").mapInArrow(run, HASHED)
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """(ID, at, w): the hash of every window in the packed runs ``runs`` (array<long>) of each document; at is packed for it alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                runs = np.array(batch.column(3)[at].as_py(), np.int64)
+                first, count = runs // SPAN, runs % SPAN
+                start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                for _, _, data, offsets in K.chunks(batch.column(2).slice(at, 1)):
+                    w = K.span_hash(K.prefix_hash(K.words(data, offsets)[0]), start, start + MIN_WORDS)
+                    same = [pa.array(np.full(start.size, batch.column(k)[at].as_py(), np.int64)) for k in (0, 1)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(start * SPAN + 1), pa.array(w.view(np.int64))], [*ID, "at", "w"])
+
+    return docs.select(*ID, "text", "runs").mapInArrow(run, "doc long, x long, at long, w long")
+
+
+def repeated_windows(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(ID, seen): packed runs of the windows of each document that are not the first of their words."""
+    all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.at")
+    again = all_.groupBy("ah").agg(F.count("*").alias("n"), (F.min("ac") < F.max("ac")).alias("mixed")).where("n > 1").select("ah", "mixed")
+    met = scratch.cut(all_.join(again, "ah").select(*ID, "ac", "at", "mixed"), "met")
+    classes = met.groupBy("ac").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f"), F.max("mixed").alias("mixed"))
+    classes = scratch.cut(classes, "classes")
+    same = met.join(classes.where("n > 1").select("ac", "f"), "ac").where("struct(doc, x, at) <> f").select(*ID, "at")
+    runs = scratch.cut(classes.where("mixed").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_list("f.at").alias("runs")), "runs")
+    own = scratch.cut(windows(docs.join(runs, ID).dropDuplicates(ID)), "windows")
+    first = own.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f")).where("n > 1").select("w", "f")
+    edges = own.join(first, "w").where("struct(doc, x, at) <> f").select(*ID, "at")
+    out = scratch.cut(same.unionByName(edges).groupBy(*ID).agg(F.collect_set("at").alias("seen")), "seen")
+    scratch.drop(met, classes, runs, own)
+    return out
 
 
 def paragraph_sets(docs: DataFrame) -> DataFrame:
@@ -111,16 +194,16 @@ CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def cleaned(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove) -> CLEANED rows and ``carry``."""
+    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove, seen: runs of windows seen before) -> CLEANED rows and ``carry``."""
     carried = [docs.schema[c] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part, rows = batch.slice(at, 128), []
-                for text, again, near in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                for text, again, near, seen in zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
                     data = (text or "").encode()
-                    spans = removed_spans(data, set(again or ()), set(near or ())) if again or near else []
+                    spans = removed_spans(data, set(again or ()), set(near or ()), seen or []) if again or near or seen else []
                     kept, end = [], 0
                     for a, b in spans:
                         kept.append(data[end:a])
@@ -129,10 +212,10 @@ def cleaned(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                     if spans:
                         kept = kept.removesuffix(b"\n")
                     rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), text if text is None else kept.decode()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)), *(part.column(4 + k) for k in range(len(carry)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)), *(part.column(5 + k) for k in range(len(carry)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
     schema = StructType([*_parse(CLEANED), *carried])
-    return docs.select("doc_id", "text", "again", "near", *carry).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "again", "near", "seen", *carry).mapInArrow(run, schema)
 
 
 def _parse(ddl: str) -> list[StructField]:
@@ -140,60 +223,69 @@ def _parse(ddl: str) -> list[StructField]:
     return [StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))]
 
 
-def removed_spans(data: bytes, again: set[int], near: set[int]) -> list[tuple[int, int]]:
-    """Byte ranges of the runs to remove. A piece of under three words joins a run it stands inside of."""
+def removed_spans(data: bytes, again: set[int], near: set[int], seen: list[int]) -> list[tuple[int, int]]:
+    """Byte ranges of the runs of words to remove. A piece of under three words joins a run it stands inside of."""
+    gap = K.IS_SPACE[np.frombuffer(data, np.uint8)]
+    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    ends = np.flatnonzero(~gap & np.concatenate((gap[1:], [True]))) + 1
+    repeated = np.zeros(starts.size + 1, bool)
+    for r in seen:
+        repeated[r // SPAN : r // SPAN + r % SPAN - 1 + MIN_WORDS] = True
     own = pieces(data)
     big = [n for n, line in enumerate(data.split(b"\n")) if len(line.split()) >= MIN_WORDS]
     gone = {big[k] for k in near if k < len(big)}
-    spans, run, words = [], [], 0
-
-    def close() -> None:
-        nonlocal run, words
-        if words >= MIN_WORDS:
-            spans.append((run[0][0], run[-1][1]))
-        run, words = [], 0
-
-    for k, (a, b, line) in enumerate(own):
+    bounds = np.searchsorted(starts, [a for a, _, _ in own] + [len(data)])
+    for k, (_, _, line) in enumerate(own):
         if k in again or line in gone:
-            run.append((a, b))
-            words += len(data[a:b].split())
-        elif run and len(data[a:b].split()) < 3 and k + 1 < len(own) and (k + 1 in again or own[k + 1][2] in gone):
-            run.append((a, b))
-        else:
-            close()
-    close()
+            repeated[bounds[k] : bounds[k + 1]] = True
+    marked = repeated.copy()
+    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
+        if 0 < i < j < i + 3 and marked[i - 1] and repeated[j]:
+            marked[i:j] = True
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], marked[:-1], [False])).astype(np.int8)))
+    spans = []
+    for i, j in zip(turn[::2], turn[1::2], strict=True):
+        if repeated[i:j].sum() >= MIN_WORDS:
+            line = data.rfind(b"\n", 0, starts[i]) + 1
+            opens = not data[line : starts[i]].strip()
+            end = int(starts[j]) if j < starts.size else len(data)
+            tail = data.find(b"\n", ends[j - 1], end)
+            # A run from inside a line leaves the line's end; one of whole lines takes it along, and no indentation of the next.
+            end = end if tail < 0 else tail + opens
+            spans.append((line if opens else int(starts[i]), end))
     return spans
 
 
 def remove_repeats(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
     """CLEANED for every row of (doc_id, text), with the columns in ``carry``."""
     scratch = Scratch(docs.sparkSession, "substring")
-    docs = docs.select("doc_id", "text", *carry)
+    docs = identified(docs, carry)
     rows = scratch.cut(hashed(docs), "hashed")
+    seen = repeated_windows(rows, docs, scratch)
     # Sentences: all but the first occurrence of each hash. Counted and reduced before anything is joined.
-    flat = rows.select("doc_id", F.posexplode("hs").alias("pos", "h")).where("h <> 0")
-    first = flat.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos")).alias("f")).where("n > 1").select("h", "f")
-    again = flat.join(first, "h").where("struct(doc_id, pos) <> f").groupBy("doc_id").agg(F.collect_set("pos").alias("again"))
+    flat = rows.select(*ID, F.posexplode("hs").alias("pos", "h")).where("h <> 0")
+    first = flat.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "pos")).alias("f")).where("n > 1").select("h", "f")
+    again = flat.join(first, "h").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set("pos").alias("again"))
     again = scratch.cut(again, "again")
     # Paragraphs: one representative for each hash, near components of these, then all but the first of a component.
-    own = rows.select("doc_id", F.posexplode(F.arrays_zip("ps", "keys", "sigs")).alias("pos", "p")).select("doc_id", "pos", F.col("p.ps").alias("id"), F.col("p.keys").alias("keys"), F.col("p.sigs").alias("sig"))
-    where = scratch.cut(own.select("doc_id", "pos", "id"), "paragraphs")
-    at = scratch.cut(where.groupBy("id").agg(F.min(F.struct("doc_id", "pos")).alias("f")), "first")
-    reps = scratch.cut(own.join(at.select("f.doc_id", "f.pos"), ["doc_id", "pos"], "left_semi").dropDuplicates(["id"]).select("id", "keys", "sig"), "reps")
+    own = rows.select(*ID, F.posexplode(F.arrays_zip("ps", "keys", "sigs")).alias("pos", "p")).select(*ID, "pos", F.col("p.ps").alias("id"), F.col("p.keys").alias("keys"), F.col("p.sigs").alias("sig"))
+    where = scratch.cut(own.select(*ID, "pos", "id"), "paragraphs")
+    at = scratch.cut(where.groupBy("id").agg(F.min(F.struct(*ID, "pos")).alias("f")), "first")
+    reps = scratch.cut(own.join(at.select("f.doc", "f.x", "f.pos"), [*ID, "pos"], "left_semi").dropDuplicates(["id"]).select("id", "keys", "sig"), "reps")
     scratch.drop(rows)
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(at, "id").groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.collect_set("id").alias("wanted"))
-        return paragraph_sets(docs.select("doc_id", "text").join(wanted, "doc_id"))
+        wanted = ids.join(at, "id").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_set("id").alias("wanted"))
+        return paragraph_sets(docs.select(*ID, "text").join(wanted, ID))
 
     found = near_components(reps, sets_of, percent, scratch, K.MinHash(*PARAGRAPHS))
     named = at.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = named.groupBy("component").agg(F.min("f").alias("f"))
     named = named.select("id", "component").join(firsts, "component").select("id", "f")
-    near = where.join(named, "id").where("struct(doc_id, pos) <> f").groupBy("doc_id").agg(F.collect_set("pos").alias("near"))
+    near = where.join(named, "id").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set("pos").alias("near"))
     near = scratch.cut(near, "near")
     scratch.drop(where, at, reps, found)
-    return cleaned(docs.join(again.join(near, "doc_id", "full_outer"), "doc_id", "left"), carry)
+    return cleaned(docs.join(again.join(near, ID, "full_outer").join(seen, ID, "full_outer"), ID, "left"), carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,6 +280,47 @@ def test_substring_dedup_cuts_repeated_passages_only(docs, prose):
     assert out[12].kept_sha256 == hashlib.sha256(out[12].text.encode()).hexdigest()
 
 
+def brute_windows(texts, size=30):
+    """Texts without the words of any window of ``size`` words that stood earlier."""
+    seen, out = set(), {}
+    for i in sorted(texts):
+        ws = texts[i].split()
+        gone = set()
+        for k in range(len(ws) - size + 1):
+            w = tuple(x.lower() for x in ws[k : k + size])
+            if w in seen:
+                gone.update(range(k, k + size))
+            seen.add(w)
+        out[i] = [x for k, x in enumerate(ws) if k not in gone]
+    return out
+
+
+def test_substring_dedup_sees_passages_across_sentences_and_without_punctuation(docs, prose):
+    a, b, c = prose(62, 1), prose(45, 2), prose(34, 3)
+    texts = {
+        1: f"{prose(50, 10)} {a} {prose(40, 11)}",
+        2: f"{prose(7, 12)}. {prose(5, 13)} {a} {prose(6, 14)}. {prose(9, 15)}",  # inside one sentence
+        3: f"{prose(8, 16)}\n{b}\n{prose(8, 17)}",
+        4: f"{prose(8, 18)} " + b.replace(" ", "\n", 4).replace(" ", "\t", 9) + f" {prose(8, 19)}",  # other white space, across lines
+        5: f"{prose(20, 20)}。{c} {prose(20, 21)} {' '.join(a.split()[5:44])} {prose(3, 22)}",
+        6: f"{c.upper()} {prose(12, 23)} {' '.join(a.split()[20:49])} {prose(3, 24)} {c}",  # 29 words stay
+        7: " ".join(["tick"] * 100),
+        8: f"{prose(40, 25)}",
+    }
+    out = {x.doc_id: x.text.split() for x in op10_substring.remove_repeats(docs(list(texts.items()))).collect()}
+    want = brute_windows(texts)
+    assert out == want and len(want[2]) == 27 and len(want[7]) == 1
+
+
+def test_removed_passages_leave_line_ends(docs, prose):
+    a = prose(40, 1)
+    b, c, d = prose(25, 2), prose(25, 3), prose(25, 4)
+    rows = [(1, a), (2, f"{b} {a}\ntwo"), (3, f"one\n  {a}\n  two"), (None, f"{c} {a} two"), (4, "other"), (4, f"{d} {a} rest")]
+    out = {(x.doc_id, x.n_bytes): x.text for x in op10_substring.remove_repeats(docs(rows)).collect()}
+    want = [a, f"{b} \ntwo", "one\n  two", f"{c} two", "other", f"{d} rest"]
+    assert out == {(i, len(t)): w for (i, t), w in zip(rows, want, strict=True)}
+
+
 def test_connected_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(500, 500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()}
