@@ -6,7 +6,7 @@ Three kinds of pieces are compared; words are what white space parts:
   is served by its anchor, the ``GRAM`` words of smallest hash in it (about one word in eleven is an anchor). Only
   anchors that occur again matter; equal anchors with equal served words are one class, of which all but the
   first are repeats; where an anchor has several classes, the windows of their firsts are compared by hash;
-* whole paragraphs (lines) of at least ``MIN_WORDS`` words: MinHash bands (tuned so that a pair of similarity 0.8 is
+* whole paragraphs of at least ``MIN_WORDS`` words (lines, and blocks of several lines, see ``paragraphs``): MinHash bands (tuned so that a pair of similarity 0.8 is
   missed with probability 2e-4) propose pairs, exact Jaccard of their five-word shingles confirms them at ``percent``,
   and connected components group them; every paragraph but the first of its component is removed;
 * sentences of a paragraph (ended by . ! or ? and a blank), by the hash of their words, so that repeated sentences in
@@ -104,6 +104,41 @@ def anchors(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return grams[at].view(np.int64), cls.view(np.int64), (start - first[text]) * SPAN + count, np.searchsorted(text, np.arange(first.size))
 
 
+def paragraphs(data: bytes) -> list[tuple[int, int]]:
+    """(start, end) of the paragraphs of at least MIN_WORDS words, in order of their starts.
+
+    Every line of so many words is one; so are, between blank lines, the lines of a wrapped block together (each line
+    but the last is too full for the next line's first word, and one ends inside a sentence), and otherwise every run
+    of at least two shorter lines. A line of a wrapped block is inside of it; no other paragraphs overlap.
+    """
+    out, start, block = [], 0, []
+
+    def close() -> None:
+        if len(block) > 1:
+            full = max(len(x) for _, x, _ in block)
+            wrapped = all(len(a[1]) + 1 + len(b[1].split(None, 1)[0]) > full for a, b in zip(block[:-1], block[1:], strict=True)) and any(x[-1:] not in b".!?:;" for _, x, _ in block[:-1])
+            run = []
+            for line in [*block, None]:
+                if line and (wrapped or line[2] < MIN_WORDS):
+                    run.append(line)
+                    continue
+                if len(run) > 1 and sum(n for _, _, n in run) >= MIN_WORDS:
+                    out.append((run[0][0], run[-1][0] + len(run[-1][1])))
+                run = []
+        out.extend((at, at + len(x)) for at, x, n in block if n >= MIN_WORDS)
+        block.clear()
+
+    for line in data.split(b"\n"):
+        n = len(line.split())
+        if n:
+            block.append((start, line.rstrip(), n))
+        else:
+            close()
+        start += len(line) + 1
+    close()
+    return sorted(out)
+
+
 HASHED = "doc long, x long, hs array<long>, ps array<long>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, at array<long>"
 
 
@@ -119,7 +154,7 @@ def hashed(docs: DataFrame) -> DataFrame:
                 for text in part.column(2):
                     data = (text.as_py() or "").encode()
                     hs.append([h if n >= 3 else 0 for h, n in (word_hash(data[a:b]) for a, b, _ in pieces(data))])
-                    own = [(x, h) for x in data.split(b"\n") for h, n in [word_hash(x)] if n >= MIN_WORDS]
+                    own = [(data[a:b], word_hash(data[a:b])[0]) for a, b in paragraphs(data)]
                     lines += [x for x, _ in own]
                     line_hash += [h for _, h in own]
                     count.append(len(own))
@@ -178,12 +213,13 @@ def paragraph_sets(docs: DataFrame) -> DataFrame:
             ids, lines = [], []
             for at in range(batch.num_rows):
                 wanted = set(batch.column(1)[at].as_py())
-                for line in (batch.column(0)[at].as_py() or "").encode().split(b"\n"):
-                    h, n = word_hash(line)
-                    if n >= MIN_WORDS and h in wanted:
+                data = (batch.column(0)[at].as_py() or "").encode()
+                for a, b in paragraphs(data):
+                    h, _ = word_hash(data[a:b])
+                    if h in wanted:
                         wanted.discard(h)
                         ids.append(h)
-                        lines.append(line)
+                        lines.append(data[a:b])
             for i, j, data, offsets in K.chunks(pa.array(lines, pa.binary())):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), K.list_array(*K.distinct(*K.shingles(*K.words(data, offsets))))], ["id", "items"])
 
@@ -194,7 +230,7 @@ CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def cleaned(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove, seen: runs of windows seen before) -> CLEANED rows and ``carry``."""
+    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove and of their component's first if that is in the same document, seen: runs of windows seen before) -> CLEANED rows and ``carry``."""
     carried = [docs.schema[c] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +239,7 @@ def cleaned(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
                 part, rows = batch.slice(at, 128), []
                 for text, again, near, seen in zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
                     data = (text or "").encode()
-                    spans = removed_spans(data, set(again or ()), set(near or ()), seen or []) if again or near or seen else []
+                    spans = removed_spans(data, set(again or ()), [tuple(x.values()) for x in near or ()], seen or []) if again or near or seen else []
                     kept, end = [], 0
                     for a, b in spans:
                         kept.append(data[end:a])
@@ -223,7 +259,7 @@ def _parse(ddl: str) -> list[StructField]:
     return [StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))]
 
 
-def removed_spans(data: bytes, again: set[int], near: set[int], seen: list[int]) -> list[tuple[int, int]]:
+def removed_spans(data: bytes, again: set[int], near: list[tuple[int, int | None]], seen: list[int]) -> list[tuple[int, int]]:
     """Byte ranges of the runs of words to remove. A piece of under three words joins a run it stands inside of."""
     gap = K.IS_SPACE[np.frombuffer(data, np.uint8)]
     starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
@@ -232,12 +268,15 @@ def removed_spans(data: bytes, again: set[int], near: set[int], seen: list[int])
     for r in seen:
         repeated[r // SPAN : r // SPAN + r % SPAN - 1 + MIN_WORDS] = True
     own = pieces(data)
-    big = [n for n, line in enumerate(data.split(b"\n")) if len(line.split()) >= MIN_WORDS]
-    gone = {big[k] for k in near if k < len(big)}
     bounds = np.searchsorted(starts, [a for a, _, _ in own] + [len(data)])
-    for k, (_, _, line) in enumerate(own):
-        if k in again or line in gone:
-            repeated[bounds[k] : bounds[k + 1]] = True
+    for k in again:
+        repeated[bounds[k] : bounds[k + 1]] = True
+    blocks = paragraphs(data) if near else []
+    for k, first in near:
+        a, b = blocks[k]
+        # A line and the wrapped block around it may be near each other; neither repeats the other.
+        if first is None or blocks[first][1] <= a or b <= blocks[first][0]:
+            repeated[np.searchsorted(starts, a) : np.searchsorted(starts, b)] = True
     marked = repeated.copy()
     for i, j in zip(bounds[:-1], bounds[1:], strict=True):
         if 0 < i < j < i + 3 and marked[i - 1] and repeated[j]:
@@ -282,7 +321,7 @@ def remove_repeats(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     named = at.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = named.groupBy("component").agg(F.min("f").alias("f"))
     named = named.select("id", "component").join(firsts, "component").select("id", "f")
-    near = where.join(named, "id").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set("pos").alias("near"))
+    near = where.join(named, "id").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set(F.expr("struct(pos, if(doc = f.doc and x = f.x, f.pos, null) as first)")).alias("near"))
     near = scratch.cut(near, "near")
     scratch.drop(where, at, reps, found)
     return cleaned(docs.join(again.join(near, ID, "full_outer").join(seen, ID, "full_outer"), ID, "left"), carry)

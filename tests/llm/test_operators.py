@@ -315,12 +315,34 @@ def test_substring_dedup_sees_passages_across_sentences_and_without_punctuation(
 def test_removed_passages_leave_line_ends(docs, prose):
     a = prose(40, 1)
     b, c, d = prose(25, 2), prose(25, 3), prose(25, 4)
-    rows = [(1, a), (2, f"{b} {a}\ntwo"), (3, f"one\n  {a}\n  two"), (None, f"{c} {a} two"), (4, "other"), (4, f"{d} {a} rest")]
+    rows = [(1, a), (2, f"{b} {a}\ntwo"), (3, f"one\n  {a}\n  three"), (None, f"{c} {a} four"), (4, "other"), (4, f"{d} {a} rest")]
     out = {(x.doc_id, x.n_bytes): x.text for x in op10_substring.remove_repeats(docs(rows)).collect()}
-    want = [a, f"{b} \ntwo", "one\n  two", f"{c} two", "other", f"{d} rest"]
+    want = [a, f"{b} \ntwo", "one\n  three", f"{c} four", "other", f"{d} rest"]
     assert out == {(i, len(t)): w for (i, t), w in zip(rows, want, strict=True)}
 
 
+def test_near_copies_of_wrapped_paragraphs_and_lists_are_removed(docs, prose):
+    import textwrap
+
+    def changed(words):  # every 50th word
+        return " ".join("new" if k % 50 == 25 else w for k, w in enumerate(words.split()))
+
+    a, b = prose(200, 1), prose(200, 2)
+    listed = lambda words: "\n".join(" ".join(words.split()[k : k + 8]) for k in range(0, 200, 8))
+    wide = prose(90, 3)
+    rows = [
+        (1, f"{prose(9, 10)}.\n\n" + textwrap.fill(a, 70) + f"\n\n{prose(9, 11)}."),
+        (2, f"{prose(9, 12)}.\n\n" + textwrap.fill(changed(a), 55) + f"\n\n{prose(9, 13)}."),
+        (3, f"{prose(9, 14)}.\n\n" + listed(b)),
+        (4, listed(changed(b)) + f"\n\n{prose(9, 15)}."),
+        (5, " ".join(wide.split()[:85]) + "\n" + " ".join(wide.split()[85:])),  # a block of which one line is most
+    ]
+    out = {x.doc_id: x.text for x in op10_substring.remove_repeats(docs(rows)).collect()}
+    assert all(out[i] == t for i, t in rows if i in (1, 3, 5))
+    assert out[2].split() == (prose(9, 12) + ". " + prose(9, 13) + ".").split()
+    assert out[4].split() == (prose(9, 15) + ".").split()
+
+
 def test_connected_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(500, 500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()}
