@@ -4,12 +4,16 @@ Each stage takes (spark, docs, sf_dir) and returns a frame that is written as Pa
 stage's ``docs``. All but the last return the columns of ``documents``. No SQL states the trained classifier, so the
 pipeline has none; tests compare its stages with brute force.
 
+Stages tell rows apart by a key of their own, not by doc_id: rows with a null doc_id, and different texts of one doc_id,
+are documents like any other, the ones with a null doc_id after all others in order. Rows with the same doc_id and text
+are near duplicates of each other; only those without any word are all kept.
+
 Columns beyond those of ``documents`` are not carried; null texts count as empty; an empty table passes through.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import op4_mixing, op5_quality, op6_bpe, op9_minhash, op10_substring
@@ -18,6 +22,11 @@ from framewright.llm.common import Scratch, table
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with a column row_: a number for each row, fixed by writing it."""
+    return scratch.cut(docs.select(COLUMNS).withColumn("row_", F.monotonically_increasing_id()), "keyed")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier (trained on the labelled ones outside its held-out fold) does not reject."""
     docs = docs.select(COLUMNS)
@@ -25,14 +34,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word-shingle similarity 0.8: the one with the smallest doc_id.
+    """One row of each component of five-word-shingle similarity 0.8: the one with the smallest doc_id (nulls last).
 
-    Repeated rows of one doc_id are one document: its row with the longest text stays.
+    A row without words is in no component and stays, as does every row whose own text has no duplicate.
     """
-    docs = docs.select(COLUMNS)
-    kept = op9_minhash.near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.length("text")), "text")
-    return docs.join(kept, "doc_id", "left_semi").withColumn("r_", F.row_number().over(order)).where("r_ = 1").select(COLUMNS)
+    docs = keyed(docs, Scratch(spark, "near"))
+    found = op9_minhash.near_duplicates(docs.select(F.col("row_").alias("doc_id"), "text"), percent=80)
+    found = found.select(F.col("doc_id").alias("row_"), "component_id").join(docs.select("row_", "doc_id"), "row_")
+    kept = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_"))["row_"].alias("row_"))
+    return docs.join(kept, "row_", "left_semi").select(COLUMNS)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,9 +57,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that the mix takes t words of appears t // size times whole, and once more with its first t % size words.
     """
-    docs = docs.select(COLUMNS)
-    mixed = op4_mixing.mix(docs).select("doc_id", "size", "taken").where("taken > 0")
-    rows = docs.join(mixed, "doc_id")
+    docs = keyed(docs, Scratch(spark, "mixing"))
+    mixed = op4_mixing.mix(docs, carry=("row_",)).select("row_", "size", "taken").where("taken > 0")
+    rows = docs.join(mixed, "row_")
     whole = F.expr("array_repeat(size, cast(taken div size as int))")
     rest = F.expr("if(taken % size > 0, array(taken % size), array())")
     rows = rows.withColumn("words", F.explode(F.concat(whole, rest)))

@@ -27,8 +27,8 @@ SHARD_WORDS = 1 << 22
 SEED = "mix-1"
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}"))).alias("h"))
+def sizes(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    return docs.select(*carry, "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{SEED}"))).alias("h"))
 
 
 def targets(per_source: DataFrame, repeats: int = REPEATS) -> DataFrame:
@@ -67,10 +67,10 @@ def apportion(rows: DataFrame, group: list[str], votes: str, seats: str, order:
     return out.withColumn("quota", (F.col("lo_") + F.coalesce("won_", F.lit(0))).cast("long")).drop("v_", "s_", "lo_", "hi_", "open_", "won_")
 
 
-def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, repeats: int = REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken and shard for every row of (doc_id, source, text)."""
+def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, repeats: int = REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken and shard for every row of (doc_id, source, text), with the columns in ``carry`` (the last to break ties)."""
     scratch = Scratch(docs.sparkSession, "mix")
-    rows = scratch.cut(sizes(docs), "sizes")
+    rows = scratch.cut(sizes(docs, carry), "sizes")
     s = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), repeats)
     blocks = F.sum(F.floor(F.col("target") / block + 0.5)).over(Window.partitionBy()).cast("long")
     s = scratch.cut(apportion(s.withColumn("blocks", blocks).withColumn("g", F.lit(0)), ["g"], "target", "blocks", "rn"), "quotas")
@@ -78,16 +78,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shard_words: int = SHARD_WORDS, rep
     shard = F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % F.greatest("n_shards", F.lit(1))
     # Broadcast: one small row a source. Sources are counted first; with very many, the join shuffles instead.
     few = s.count() <= 10_000
-    placed = rows.join(F.broadcast(s) if few else s, rows["source"].eqNullSafe(s["source"])).select("doc_id", "size", "h", "source_size", "target", "rn", "source_quota", shard.alias("shard"))
+    placed = rows.join(F.broadcast(s) if few else s, rows["source"].eqNullSafe(s["source"])).select(*carry, "doc_id", "size", "h", "source_size", "target", "rn", "source_quota", shard.alias("shard"))
     per_shard = placed.groupBy("rn", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
     quotas = scratch.cut(apportion(per_shard, ["rn"], "shard_size", "source_quota", "shard").select("rn", "shard", "shard_size", "quota"), "shards")
-    order = Window.partitionBy("rn", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("rn", "shard").orderBy("h", "doc_id", "size", *carry).rowsBetween(Window.unboundedPreceding, -1)
     out = placed.join(quotas, ["rn", "shard"]).withColumn("before", F.coalesce(F.sum("size").over(order), F.lit(0)))
     words = F.least(F.col("quota") * block, F.col("shard_size") * repeats)
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0).cast("long")
     out = out.withColumn("words", words).withColumn("rounds", rounds).withColumn("left", F.col("words") - F.col("rounds") * F.col("shard_size"))
     taken = F.col("rounds") * F.col("size") + F.greatest(F.lit(0), F.least("size", F.col("left") - F.col("before")))
-    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("shard").cast("long").alias("shard"))
+    return out.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), F.col("shard").cast("long").alias("shard"), *carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,3 +26,15 @@ def test_mixing_stage_writes_what_the_mix_takes(spark, docs, prose):
     for r in P.mixing(spark, rows, SF).collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + len(r.text.split())
     assert got == {i: r.taken for i, r in mixed.items() if r.taken}
+
+
+def test_rows_without_a_key_of_their_own_stay_in_every_stage(spark, docs, prose):
+    texts = {k: prose(64, 100 + k) for k in range(5)}
+    rows = docs([(None, texts[0], "en", "s"), (None, texts[1], "en", "s"), (7, texts[2], "en", "s"), (7, texts[3], "en", "s"), (8, texts[4], "en", "s"), (8, texts[4], "en", "s"), (None, texts[4], "en", "s"), (None, None, "en", "s")])
+    kept = P.near_duplicates(spark, rows, SF)
+    want = [(None, None), (None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, texts[4])]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(want, key=str)
+    cut = P.substrings(spark, kept, SF)
+    assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(want, key=str)
+    mixed = P.mixing(spark, cut, SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == sorted(want[1:], key=str)
