@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 
@@ -59,16 +60,18 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int | None = None) -> DataFrame:
     """(a, b) long pairs -> (node, component): the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star steps: each is a grouped minimum (combined before the shuffle) and
     a join that adaptive execution can split when one node has very many neighbours. Rounds are written to
-    the shared folder; only a count and a checksum of each reach the driver.
+    the shared folder; only a count and a checksum of each reach the driver. They go on until nothing changes; a given limit raises.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     edges, before = scratch.cut(edges, "edges"), None
-    for _ in range(max_rounds):
+    for done in itertools.count():
+        if done == max_rounds:
+            raise RuntimeError(f"components not settled after {max_rounds} rounds")
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

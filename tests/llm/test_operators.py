@@ -347,3 +347,9 @@ def test_connected_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(500, 500)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()}
     assert all(got[k] == 0 for k in range(61)) and all(got[k] == 100 for k in range(100, 160)) and 500 not in got
+
+
+def test_connected_components_never_returns_unsettled_labels(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        connected_components(edges, Scratch(spark, "cc"), max_rounds=1)
