@@ -206,6 +206,12 @@ def touch_checksum(spark, sf_dir):
     return extract.touch(A.documents(spark, sf_dir).where("octet_length(blob) < 200"))
 
 
+@query("touch_checksum_all")
+def touch_checksum_all(spark, sf_dir):
+    """touch_checksum over every text, whatever its size; a test states it by brute force, as SQL by bytes is too slow."""
+    return extract.touch(A.documents(spark, sf_dir))
+
+
 @query("positions_extract", """WITH v AS (SELECT CAST(label AS BIGINT) AS traj_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS frame_idx, embedding FROM embeddings WHERE label IS NOT NULL AND len(embedding) >= 63)
 SELECT traj_id, frame_idx, atom, CAST(embedding[3 * atom + 1] AS DOUBLE) AS x, CAST(embedding[3 * atom + 2] AS DOUBLE) AS y, CAST(embedding[3 * atom + 3] AS DOUBLE) AS z FROM v, (SELECT unnest(range(0, 21)) AS atom)""")
 def positions_extract(spark, sf_dir):

@@ -33,3 +33,15 @@ def test_query_without_sql_runs(spark, name):
     assert rows
     if name == "rcso_roundtrip":
         assert all(r.positions_equal and r.forces_equal and r.no_velocities for r in rows)
+
+
+def test_whole_table_queries_leave_nothing_out(spark):
+    want: dict[int, list[int]] = {}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("source is not null").collect()
+    for r in docs:
+        data = (r.text or "").encode()
+        row = want.setdefault(int("".join(c for c in r.source if c.isdigit())), [0, 0, 0])
+        for k, x in enumerate((1, len(data), sum(i * b for i, b in enumerate(data, 1)))):
+            row[k] += x
+    got = {r.traj_id: [r.n_frames, r.n_bytes, r.checksum] for r in catalog.QUERIES["touch_checksum_all"](spark, SF).collect()}
+    assert got == want
