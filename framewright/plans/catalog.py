@@ -195,6 +195,18 @@ def batch_texts(spark, sf_dir):
     return extract.texts_of(docs, keys).select("pos", *KEYS, F.md5(F.col("blob").cast("binary")).alias("blob_md5"))
 
 
+@query("batch_texts_all", f"WITH {DOCS}, q AS (SELECT traj_id, frame_idx, row_number() OVER (ORDER BY traj_id DESC, frame_idx DESC) - 1 AS pos FROM d) SELECT pos, traj_id, frame_idx, md5(text) AS blob_md5 FROM q JOIN d USING (traj_id, frame_idx)")
+def batch_texts_all(spark, sf_dir):
+    """batch_texts for every key, last first. Only the offsets, one row a trajectory, are numbered by a window over all."""
+    from pyspark.sql import Window
+
+    docs = A.documents(spark, sf_dir)
+    before = Window.orderBy(F.desc("traj_id")).rowsBetween(Window.unboundedPreceding, 0)
+    ends = docs.groupBy("traj_id").agg(F.count("*").alias("c")).select("traj_id", (F.sum("c").over(before) - 1).alias("end"))
+    keys = docs.join(ends, "traj_id").select(*KEYS, (F.col("end") - F.col("frame_idx")).alias("pos"))
+    return extract.texts_of(docs, keys).select("pos", *KEYS, F.md5(F.col("blob").cast("binary")).alias("blob_md5"))
+
+
 @query("touch_bytes", f"WITH {DOCS} SELECT traj_id, count(*) AS n_frames, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes FROM d GROUP BY 1")
 def touch_bytes(spark, sf_dir):
     size = F.octet_length("blob").cast("long")
