@@ -288,6 +288,22 @@ def traj_exists_guard(spark, sf_dir):
     return there.join(new, "traj_id", "left_semi")
 
 
+@query("extend_frame_idx_all", f"WITH {HEADS}, n AS (SELECT traj_id, count(*) AS c FROM h GROUP BY 1) SELECT traj_id, frame_idx + c AS frame_idx, k AS orderkey FROM h JOIN n USING (traj_id)")
+def extend_frame_idx_all(spark, sf_dir):
+    """Appending every frame again: new indexes continue after each trajectory's last."""
+    heads = A.headers(spark, sf_dir)
+    total = heads.groupBy("traj_id").agg(F.count("*").alias("c"))
+    return heads.join(total, "traj_id").select("traj_id", (F.col("frame_idx") + F.col("c")).alias("frame_idx"), "orderkey")
+
+
+@query("traj_exists_guard_all", "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS traj_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def traj_exists_guard_all(spark, sf_dir):
+    """New ids that are stored already, of all customers."""
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("traj_id"))
+    there = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("traj_id")).distinct()
+    return there.join(new, "traj_id", "left_semi")
+
+
 @query("extxyz_lines", f"WITH {HEADS}, {ATOMS} SELECT traj_id, frame_idx, printf('%-2s %16.10f %16.10f', symbol, l_quantity, l_discount * 100) AS line FROM a WHERE symbol IS NOT NULL")
 def extxyz_lines(spark, sf_dir):
     """Atom lines with exact digits, in Arrow batches."""

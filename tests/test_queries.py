@@ -46,3 +46,4 @@ def test_whole_table_queries_leave_nothing_out(spark):
     got = {r.traj_id: [r.n_frames, r.n_bytes, r.checksum] for r in catalog.QUERIES["touch_checksum_all"](spark, SF).collect()}
     assert got == want
     assert catalog.QUERIES["batch_texts_all"](spark, SF).count() == len(docs)
+    assert catalog.QUERIES["extend_frame_idx_all"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
