@@ -1,16 +1,19 @@
 """BPE encoding and decoding of whole texts, exact to the tokenizers library, with tree concatenation of long pieces.
 
-A text is normalised and split into pieces exactly as the tokenizer's file says; every distinct piece is encoded
-once per worker and remembered (a bounded memo), so the library's slow path runs on distinct pieces only.
+A text is normalised and split into pieces exactly as the tokenizer's file says; every distinct piece is spelled in
+the byte alphabet, encoded once per worker, and remembered (a bounded memo). Pieces of up to ``LEAF`` symbols take the
+library's merges, longer ones (which it merges in more than linear time) the tree below.
 
 Tree concatenation: a piece longer than ``LEAF`` symbols (long unsplit text) is cut into leaves that are encoded
-independently; neighbours are then joined pairwise, level by level. At each join a window of tokens around it is
+independently; neighbours are then joined pairwise, level by level. Leaves, and the joins of a level, of a piece of more
+than ``SPLIT_LEAVES`` of them run on worker processes of the task. At each join a window of tokens around it is
 re-encoded and grown until its first and last tokens equal the left's and the right's own tokens at the same places.
 A sequence of tokens is the encoding of its text if every adjacent pair of it is one, so agreement on both sides
 makes the join exact; if a window reaches both ends, it is the encoding itself.
 
-Cases: a null or empty text has no tokens and decodes to the empty text; a text with a special token's string, or
-with characters outside the plain Latin range, takes the library's own normaliser (its result is the definition).
+Cases: a null or empty text has no tokens and decodes to the empty text; control characters are letters of the byte
+alphabet like any other; a text with a special token's string takes the library's encoder, and one with characters outside
+the range ``PLAIN`` its normaliser and its pre-tokenizer (they are the definition, and their Unicode tables are not Python's).
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ import heapq
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from functools import lru_cache
+from concurrent.futures import Executor
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import regex
@@ -30,9 +33,11 @@ from pyspark.sql import DataFrame, SparkSession
 from framewright.llm.common import table
 
 LEAF = 128
+#: Pieces of more leaves than this are encoded on ``WORKERS`` processes.
+SPLIT_LEAVES, WORKERS = 512, 2
 MEMO = 200_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Texts of these characters are normalised the same way by Python's NFC and lower() as by the library.
+#: Texts of these characters are normalised and split the same way by Python's NFC, lower() and ``regex`` as by the library (a test tries each).
 PLAIN = regex.compile(r"[\t\n\r\x20-\x7e\xa0-\xac\xae-įı-ſ–—‘-”•…€]*")
 
 
@@ -87,16 +92,45 @@ class Bpe:
                 return left[: len(left) - len(a)] + mid + right[len(b) :]
             w *= 2
 
-    def tree(self, symbols: list[str], leaf: int = LEAF, pool: ThreadPoolExecutor | None = None) -> list[str]:
-        """Leaves encoded independently, then joined pairwise up a balanced tree."""
-        run = pool.map if pool else map
+    def tree(self, symbols: list[str], leaf: int = LEAF, pool: Executor | None = None) -> list[str]:
+        """Leaves encoded independently, then joined pairwise up a balanced tree; on ``pool``'s workers if there is one."""
+        run = partial(pool.map, chunksize=32) if pool else map
         level = list(run(self.merge, [symbols[i : i + leaf] for i in range(0, len(symbols), leaf)]))
         while len(level) > 1:
-            pairs = list(run(lambda p: self.join(*p), zip(level[::2], level[1::2], strict=False)))
-            level = pairs + level[len(level) - len(level) % 2 :]
+            # Near the root a level has few, long members: sending them would cost more than their joins, which look at a few tokens.
+            joined = list((run if len(level) > 64 else map)(self.join, level[:-1:2], level[1::2]))
+            level = joined + level[len(level) - len(level) % 2 :]
         return level[0] if level else []
 
 
+@lru_cache(4)
+def merges(path: str) -> Bpe:
+    return Bpe(path)
+
+
+class Workers:
+    """merge and join of one tokenizer on forked processes, which share what this one has read; ended by ``with``."""
+
+    def __init__(self, path: str, n: int):
+        from concurrent.futures import ProcessPoolExecutor
+        from multiprocessing import get_context
+
+        self.path, self.pool = path, ProcessPoolExecutor(n, get_context("fork"))
+
+    def map(self, method: Callable, *parts: list, chunksize: int = 1) -> Iterator[list[str]]:
+        return self.pool.map(partial(_call, self.path, "join" if method.__func__ is Bpe.join else "merge"), *parts, chunksize=chunksize)
+
+    def __enter__(self) -> Workers:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.pool.shutdown()
+
+
+def _call(path: str, method: str, *parts: list[str]) -> list[str]:
+    return getattr(merges(path), method)(*parts)
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: itself if printable Latin-1, else the next code point from 256 on."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -109,41 +143,53 @@ def codec(path: str) -> Callable[[str], tuple[int, str, str]]:
     """text -> (number of tokens, decimal ids joined by a space, decoded text), made once per worker."""
     from tokenizers import Tokenizer
 
-    tok, bpe = Tokenizer.from_file(path), Bpe(path)
+    tok, bpe = Tokenizer.from_file(path), merges(path)
     tok.no_truncation()
     tok.no_padding()
     specials = [t.content for t in tok.get_added_tokens_decoder().values()]
     split = regex.compile(SPLIT).findall
-    model = tok.model  # the library's own merges, for pieces that need no tree
-    spell = _byte_letters()
+    letters, model = _byte_letters(), tok.model
 
-    def one(piece: str) -> tuple[str, str]:
-        mapped = piece if piece.isascii() else "".join([spell[b] for b in piece.encode()])
-        if len(mapped) <= LEAF:
+    def one(piece: str, plain: bool) -> tuple[str, str]:
+        mapped = "".join([letters[b] for b in piece.encode()]) if plain and not (piece.isascii() and piece.isprintable()) else piece
+        if len(mapped) <= LEAF:  # nothing to split: the library's merges
             found = model.tokenize(mapped)
             return " ".join([str(t.id) for t in found]), " ".join([t.value for t in found])
         symbols = list(mapped)
         symbols[-1] += bpe.suffix
-        tokens = bpe.tree(symbols)
+        if len(symbols) > SPLIT_LEAVES * LEAF:
+            with Workers(path, WORKERS) as pool:
+                tokens = bpe.tree(symbols, pool=pool)
+        else:
+            tokens = bpe.tree(symbols)
         return " ".join([str(bpe.vocab[t]) for t in tokens]), " ".join(tokens)
 
     class Memo(dict):
+        """Pieces as the text has them (plain), or as the library spells them in the byte alphabet."""
+
+        def __init__(self, plain: bool):
+            self.plain = plain
+
         def __missing__(self, piece: str) -> tuple[str, str]:
-            got = one(piece)
+            got = one(piece, self.plain)
             if len(piece) <= LEAF:
                 self[piece] = got
             return got
 
-    memo = Memo()
+    memos = {plain: Memo(plain) for plain in (True, False)}
 
     def encode(text: str) -> tuple[int, str, str]:
         if any(s in text for s in specials):
             e = tok.encode(text, add_special_tokens=False)
             return len(e.ids), " ".join(map(str, e.ids)), tok.decode(e.ids, skip_special_tokens=False)
         plain = PLAIN.fullmatch(text) is not None
-        pieces = split(unicodedata.normalize("NFC", text).lower() if plain else tok.normalizer.normalize_str(text))
+        if plain:
+            pieces = split(unicodedata.normalize("NFC", text).lower())
+        else:
+            pieces = [piece for piece, _ in tok.pre_tokenizer.pre_tokenize_str(tok.normalizer.normalize_str(text))]
         if not pieces:
             return 0, "", ""
+        memo = memos[plain]
         if len(memo) > MEMO:
             memo.clear()
         ids, tokens = zip(*map(memo.__getitem__, pieces), strict=True)

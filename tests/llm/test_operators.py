@@ -192,6 +192,51 @@ def test_bpe_equals_the_library(docs):
         assert out[i].n_tokens == len(e.ids)
 
 
+def test_bpe_of_every_code_point_equals_the_library():
+    """Each code point below 0x20000 between letters, between symbols and alone; those of the plain range also without any that leaves it."""
+    from tokenizers import Tokenizer
+
+    tok, encode = Tokenizer.from_file(op6_bpe.vocabulary()), op6_bpe.codec(op6_bpe.vocabulary())
+    every = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    plain = [c for c in every if op6_bpe.PLAIN.fullmatch(c)]
+    assert len(plain) > 300
+    texts = [f"a{c}b !{c}? {c} 1{c}" for c in every] + [f"{a}{b}" for a in plain[::7] for b in plain[::5]] + ["".join(plain), "".join(every)]
+    assert any(op6_bpe.PLAIN.fullmatch(t) for t in texts)
+    for t, e in zip(texts, tok.encode_batch(texts, add_special_tokens=False), strict=True):
+        n, ids, decoded = encode(t)
+        assert (n, ids) == (len(e.ids), " ".join(map(str, e.ids))), ascii(t[:40])
+        assert decoded == tok.decode(e.ids, skip_special_tokens=False)
+
+
+def test_the_tree_decides_long_unsplit_texts(monkeypatch):
+    """Texts of several leaves are encoded by joins alone, also on worker processes; a join that keeps both sides would be wrong."""
+    from tokenizers import Tokenizer
+
+    path = op6_bpe.vocabulary()
+    tok, encode, bpe = Tokenizer.from_file(path), op6_bpe.codec(path), op6_bpe.merges(path)
+    r, joins, kept = random.Random(12), [], []
+    join = op6_bpe.Bpe.join
+
+    def counted(self, left, right):
+        out = join(self, left, right)
+        joins.append(1)
+        kept.append(out == left + right)
+        return out
+
+    monkeypatch.setattr(op6_bpe.Bpe, "join", counted)
+    texts = ["".join(r.choices("etaoinshr", k=5000)), "internationalization" * 300, "".join(r.choices("!?.,-", k=2000)), "éàü" * 700]
+    for t in texts:
+        e = tok.encode(t, add_special_tokens=False)
+        assert encode(t) == (len(e.ids), " ".join(map(str, e.ids)), tok.decode(e.ids, skip_special_tokens=False))
+    assert len(joins) > 60 and not all(kept)
+    monkeypatch.setattr(op6_bpe, "SPLIT_LEAVES", 4)
+    for t in texts:
+        assert encode(t)[1] == " ".join(map(str, tok.encode(t, add_special_tokens=False).ids))
+    with op6_bpe.Workers(path, 2) as pool:
+        symbols = list("abcdefgh" * 900)
+        assert bpe.tree(symbols, 16, pool) == bpe.merge(symbols)
+
+
 def test_tree_concatenation_at_every_leaf_size():
     bpe = op6_bpe.Bpe(op6_bpe.vocabulary())
     r = random.Random(9)
