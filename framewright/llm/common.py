@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import itertools
+import shutil
 import tempfile
 import uuid
 
@@ -22,18 +24,29 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of this process only where that is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a folder of this process if the executors are it too (local mode); an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
-        root = _own.get(app) or _own.setdefault(app, tempfile.mkdtemp(prefix="framewright-"))
+        root = _own.get(app)
+        if root is None:
+            root = _own[app] = tempfile.mkdtemp(prefix="framewright-")
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return root
 
 
+def row_hash(*columns: str) -> Column:
+    """A row's second name beside its doc_id: 64 bits of its columns and of which are null. Only rows of one doc_id are told apart by it."""
+    return F.xxhash64(*(F.col(c).isNull() for c in columns), *columns)
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage, so that a lost executor costs no recomputation.
 
-    ``cut`` writes a frame and reads it back; ``drop`` deletes tables that no later plan reads.
+    ``cut`` writes a frame and reads it back; ``drop`` deletes tables that no later plan reads. Tables that the frame returned to
+    the caller still reads stay; they lie under the folder of spark.checkpoint.dir, which the cluster clears with the application.
     """
 
     def __init__(self, spark: SparkSession, name: str):

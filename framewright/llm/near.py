@@ -2,34 +2,39 @@
 
 Items enter as class representatives (equal sets are one class), so exact copies never meet in a band. Every
 pair that shares a band and is not already connected is estimated by its b-bit signature and confirmed on its
-full sets:
+words:
 
 1. each band bucket's members are paired with its smallest and largest member (linear in the bucket);
-2. confirmed links make components;
-3. buckets that still hold several components (few) are joined on themselves across components only; estimate and
-   confirmation are conditions of that join, so of its pairs only links become rows.
+2. confirmed links make components; in buckets that still hold several, ``ROUNDS`` more times every member is paired with
+   two members drawn anew, if they are of other components;
+3. buckets that still hold several components (few) are joined on themselves across components only, in blocks of
+   ``BLOCK`` members, so that a large bucket is many tasks; estimate and shared shingles are conditions of that join, which
+   leaves one link for two components. It is confirmed on the words like the others; should that fail, the pair is struck
+   out and the join repeated.
 
 Connected members need no further comparison, since only components are asked for; so no true link between
-different components is lost, and a bucket of n near copies makes 2n pairs rather than n*n/2.
+different components is lost, and a bucket of n near copies makes a few n pairs rather than n*n/2.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType
 
+from framewright.llm import textkit as K
 from framewright.llm.common import Scratch, connected_components
-from framewright.llm.textkit import MinHash
 
 #: Documents: 32 bands of 6 rows find a pair of similarity 0.8 with probability 0.99994, of 0.85 with 0.9999997.
 DOCUMENTS = (32, 6, 4)
 #: Paragraphs: 16 bands of 4 rows find a pair of similarity 0.8 with probability 0.9998.
 PARAGRAPHS = (16, 4, 2)
+#: Standard deviations below the threshold at which an estimate still asks for confirmation: one true link in 10^9 falls lower.
+SLACK, ROUNDS, BLOCK = 6, 2, 1024
 
 
 def estimate(a: str, b: str, bits: int, size: int) -> Column:
@@ -43,50 +48,110 @@ def estimate(a: str, b: str, bits: int, size: int) -> Column:
     return (F.expr(equal) - F.lit(pad)) / F.lit(float(size)) * F.lit(2**bits / (2**bits - 1)) - F.lit(1 / (2**bits - 1))
 
 
-@F.pandas_udf(LongType())
-def shared(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Size of the intersection of two sorted lists of distinct longs."""
-    return pd.Series([np.intersect1d(x, y, assume_unique=True).size for x, y in zip(a, b, strict=True)], dtype="int64")
+def alike(a: str, b: str, percent: int, n: int) -> Column:
+    """Whether two texts' sets of n-word shingles have 100 * intersection >= percent * union, by their words."""
 
+    @F.pandas_udf(BooleanType())
+    def linked(a: pd.Series, b: pd.Series) -> pd.Series:
+        sizes = (K.shared_shingles(x, y, n) for x, y in zip(a, b, strict=True))
+        return pd.Series([100 * both >= percent * either for both, either in sizes], dtype=bool)
 
-def near_components(reps: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, sketch: MinHash) -> DataFrame:
+    return linked(a, b)
+
+
+def item_sets(texts: DataFrame, n: int) -> DataFrame:
+    """(id, items): sorted distinct shingle hashes of every (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in K.chunks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), K.list_array(*K.distinct(*K.shingles(*K.words(data, offsets), n)))], ["id", "items"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, items array<long>")
+
+
+def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame], percent: int, scratch: Scratch, sketch: K.MinHash, n: int = 5) -> DataFrame:
     """(id, keys array<long>, sig array<long>), one row for each class of equal non-empty sets -> (node, component).
 
-    ``sets_of`` takes a frame (id) and returns (id, items): the sorted distinct shingle hashes of those ids.
-    Only ids with a link are returned. percent: links have 100 * intersection >= percent * union.
+    ``texts_of`` takes a frame (id) and returns (id, text), a text of each of those classes. Only ids that are not the
+    smallest of their component are returned. percent: links have 100 * intersection >= percent * union.
     """
     p, bits, size = percent / 100, sketch.bits, sketch.a.size
     hit = p + (1 - p) * 2.0**-bits
-    slack = p - 4 * (hit * (1 - hit) / size) ** 0.5 / (1 - 2.0**-bits)  # four standard deviations of the estimate below
+    slack = p - SLACK * (hit * (1 - hit) / size) ** 0.5 / (1 - 2.0**-bits)
     rows = reps.select("id", F.explode("keys").alias("key"))
     spans = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     hits = scratch.cut(rows.join(spans, "key"), "buckets")  # members of the buckets with more than one
-    pairs = hits.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*").where("a < b").distinct()
-    sig = reps.select("id", "sig")
-    close = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").where(estimate("sa", "sb", bits, size) >= slack).select("a", "b")
-    close = scratch.cut(close, "pairs")
-    sets = scratch.cut(sets_of(hits.select("id").distinct()), "sets")
+    sig = scratch.cut(reps.select("id", "sig").join(hits.select("id").distinct(), "id"), "signatures")
+    texts = scratch.cut(texts_of(sig.select("id")), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("ia")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("ib")), "b")
-        n = shared("ia", "ib")
-        return both.withColumn("n", n).where(f"100 * n >= {percent} * (size(ia) + size(ib) - n)").select("a", "b")
-
-    links = scratch.cut(confirmed(close), "links")
-    found = scratch.cut(connected_components(links, scratch), "components")
-    labelled = hits.select("key", "id").join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("key")
-    # The rest of these buckets is joined on itself, with everything decided inside the join: different components, the first
-    # band that the pair shares, the estimate, and the exact sets. Only links leave it.
-    left = scratch.cut(labelled.join(mixed, "key").join(reps.select("id", "keys", "sig"), "id").join(sets, "id"), "mixed")
-    one, two = (left.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "keys", "sig", "items"))) for s in "12")
-    first = F.expr("case " + " ".join(f"when keys1[{k}] = keys2[{k}] then keys1[{k}]" for k in range(sketch.bands)) + " end = key")
-    exact = F.expr(f"100 * size(array_intersect(items1, items2)) >= {percent} * (size(items1) + size(items2) - size(array_intersect(items1, items2)))")
-    rest = one.join(two, "key").where((F.col("c1") < F.col("c2")) & (estimate("sig1", "sig2", bits, size) >= slack) & first & exact)
-    more = scratch.cut(rest.select(F.col("id1").alias("a"), F.col("id2").alias("b")), "more")
-    if more.isEmpty():
-        scratch.drop(hits, close, sets, left, links, more)
-        return found
-    out = scratch.cut(connected_components(links.unionByName(more), scratch), "components")
-    scratch.drop(hits, close, sets, left, links, more, found)
+        one, two = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
+        return scratch.cut(pairs.join(one, "a").join(two, "b").where(alike("ta", "tb", percent, n)).select("a", "b"), "links")
+
+    def tried(pairs: DataFrame) -> DataFrame:
+        """The links among (a, b)."""
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        one, two = (sig.select(F.col("id").alias(c), F.col("sig").alias(f"s{c}")) for c in "ab")
+        close = scratch.cut(pairs.join(one, "a").join(two, "b").where(estimate("sa", "sb", bits, size) >= slack).select("a", "b"), "pairs")
+        out = confirmed(close)
+        scratch.drop(close)
+        return out
+
+    def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
+        """Members (key, id, c) of buckets with several components after joining components by ``links`` (of c's)."""
+        moved = scratch.cut(connected_components(links, scratch), "components")
+        out = scratch.cut(members.join(moved.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "id", F.coalesce("component", "c").alias("c")), "labelled")
+        scratch.drop(moved)
+        return out
+
+    pairs = hits.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
+    links = tried(pairs)
+    members = relabelled(hits.select("key", "id", F.col("id").alias("c")), links)
+    scratch.drop(hits, links)
+    member = F.struct("id", "c")
+    for k in range(ROUNDS):
+        drawn = F.xxhash64("id", F.lit(k))
+        pivots = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(member, drawn).alias("p0"), F.max_by(member, drawn).alias("p1")).where("c0 < c1")
+        again = members.join(pivots.select("key", F.explode(F.array("p0", "p1")).alias("p")), "key").where("c <> p.c")
+        links = tried(again.select(F.col("id").alias("a"), F.col("p.id").alias("b")))
+        if links.isEmpty():
+            scratch.drop(links)
+            break
+        label = members.select("id", "c").distinct()
+        between = links.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        before, members = members, relabelled(members, between)
+        scratch.drop(links, before)
+    refuted = None
+    while True:
+        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
+        left = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("blocks")).cast("int"))
+        left = scratch.cut(left, "mixed")
+        wanted = scratch.cut(texts.join(left.select("id").distinct(), "id"), "wanted")
+        sets = scratch.cut(item_sets(wanted, n), "sets")
+        full = left.join(sig, "id").join(sets, "id").join(reps.select("id", "keys"), "id")
+        # A member meets each block of its bucket once: blocks (i, j), i <= j, hold i's members on one side and j's on the other.
+        one, two = (full.select("key", *(F.col(c).alias(c + s) for c in ("id", "c", "keys", "sig", "items")), F.explode(others).alias("o"), "own") for s, others in (("1", F.sequence(F.col("own"), F.col("blocks") - 1)), ("2", F.sequence(F.lit(0), F.col("own")))))
+        one, two = one.withColumnsRenamed({"own": "i", "o": "j"}), two.withColumnsRenamed({"own": "j", "o": "i"})
+        # The first band that a pair shares decides it.
+        first = F.expr("case " + " ".join(f"when keys1[{k}] = keys2[{k}] then keys1[{k}]" for k in range(sketch.bands)) + " end = key")
+        exact = F.expr(f"100 * size(array_intersect(items1, items2)) >= {percent} * (size(items1) + size(items2) - size(array_intersect(items1, items2)))")
+        rest = one.join(two, ["key", "i", "j"]).where((F.col("c1") != F.col("c2")) & (F.col("i").eqNullSafe(F.col("j")) & (F.col("id1") < F.col("id2")) | (F.col("i") < F.col("j"))) & (estimate("sig1", "sig2", bits, size) >= slack) & first & exact)
+        rest = rest.select(F.least("c1", "c2").alias("ca"), F.greatest("c1", "c2").alias("cb"), F.least("id1", "id2").alias("a"), F.greatest("id1", "id2").alias("b"))
+        if refuted is not None:
+            rest = rest.join(refuted, ["a", "b"], "left_anti")
+        rest = scratch.cut(rest.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("ca", "cb", "p.a", "p.b"), "rest")
+        links = confirmed(rest.select("a", "b"))
+        wrong = rest.join(links, ["a", "b"], "left_anti").select("a", "b")
+        wrong = scratch.cut(wrong, "refuted")
+        if not links.isEmpty():
+            before, members = members, relabelled(members, rest.join(links, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            scratch.drop(before)
+        scratch.drop(left, wanted, sets, rest, links)
+        if wrong.isEmpty():
+            scratch.drop(wrong)
+            break
+        refuted = wrong if refuted is None else scratch.cut(refuted.unionByName(wrong), "refuted")
+    out = scratch.cut(members.where("c <> id").select(F.col("id").alias("node"), F.col("c").alias("component")).distinct(), "near")
+    scratch.drop(members, sig, texts)
     return out

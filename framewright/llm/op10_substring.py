@@ -1,31 +1,29 @@
 """Substring dedup by paragraph MinHash banding and word windows: repeated paragraphs and passages are cut out, one occurrence stays.
 
-Three kinds of pieces are compared; words are what white space parts:
-
-* passages: every window of ``MIN_WORDS`` words, wherever it starts, so sentence and line ends do not matter. A window
-  is served by its anchor, the ``GRAM`` words of smallest hash in it (about one word in eleven is an anchor). Only
-  anchors that occur again matter; equal anchors with equal served words are one class, of which all but the
-  first are repeats; where an anchor has several classes, the windows of their firsts are compared by hash;
-* whole paragraphs of at least ``MIN_WORDS`` words (lines, and blocks of several lines, see ``paragraphs``): MinHash bands (tuned so that a pair of similarity 0.8 is
-  missed with probability 2e-4) propose pairs, exact Jaccard of their five-word shingles confirms them at ``percent``,
-  and connected components group them; every paragraph but the first of its component is removed;
-* sentences of a paragraph (ended by . ! or ? and a blank), by the hash of their words, so that repeated sentences in
-  another order are seen.
-
-A run of words that were seen before (in a window, a sentence or a removed paragraph) is removed if it has at least
-``MIN_WORDS`` of them, so common short lines stay. "First" is the smallest (doc_id, position). Equal pieces are one class
-before bands or pairs are made, so a passage that a third of all documents share costs one counted row for each
-occurrence and no pairs.
+Two kinds of pieces are compared; words are what white space parts:
+
+* whole paragraphs of at least ``MIN_WORDS`` words (lines, and blocks of several lines, see ``paragraphs``): MinHash bands
+  (tuned so that a pair of similarity 0.8 is missed with probability 2e-4) propose pairs, exact Jaccard of their five-word
+  shingles confirms them at ``percent``, and connected components group them; every paragraph but the first of its
+  component is removed;
+* passages inside different paragraphs: every window of ``MIN_WORDS`` words, wherever it starts, so sentence and line
+  ends do not matter. A window is served by its anchor, the ``GRAM`` words of smallest hash in it (about one word in
+  eleven is an anchor). Only anchors that occur again matter; equal anchors with equal served words are one class, of
+  which all but the first are repeats; where an anchor has several classes, the windows of their firsts are compared.
+  Classes and windows are known by 128 bits.
+
+Every word of a removed paragraph or of a window that was seen before goes; so nothing shorter than ``MIN_WORDS`` words
+does, and common short lines stay. "First" is the smallest (doc_id, position). Equal pieces are one class before bands or
+pairs are made, so a passage that a third of all documents share costs one counted row for each occurrence and no pairs.
 
 Cases: a null text stays null and counts as empty; an empty text is unchanged; repeats inside one document count;
 rows with the same doc_id and text are judged as one document, other rows of a doc_id each on their own (ordered by a
-hash of the text); a null doc_id stands after all others; words are compared with A-Z folded.
+hash of the text); a null doc_id stands after all others; words are compared with A-Z folded; a text's own last line end stays.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from framewright.llm import textkit as K
-from framewright.llm.common import Scratch, table
+from framewright.llm.common import Scratch, row_hash, table
 from framewright.llm.near import PARAGRAPHS, near_components
 
 MIN_WORDS = 30
@@ -45,45 +43,31 @@ GRAM = 10
 SPAN = 32
 #: What a document is, without nulls: its doc_id, and a hash of its text (and of whether the doc_id is null).
 ID = ["doc", "x"]
-_SENTENCE = re.compile(rb"[.!?]+ +")
 _FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
-def word_hash(piece: bytes) -> tuple[int, int]:
-    """64 bits of the words of a piece (A-Z folded, white space of any length alike), and their number."""
-    words = piece.translate(_FOLD).split()
-    return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True), len(words)
-
-
-def pieces(data: bytes) -> list[tuple[int, int, int]]:
-    """(start, end, paragraph number) of the sentences, covering the text; a line's end belongs to its last sentence."""
-    out, start = [], 0
-    for line_no, line in enumerate(data.split(b"\n")):
-        end, at = start + len(line) + 1, start
-        for m in _SENTENCE.finditer(line):
-            out.append((at, start + m.end(), line_no))
-            at = start + m.end()
-        if at < end:
-            out.append((at, end, line_no))
-        start = end
-    out[-1] = (out[-1][0], len(data), out[-1][2])
-    return out
+def word_digest(piece: bytes) -> bytes:
+    """128 bits of the words of a piece (A-Z folded, white space of any length alike)."""
+    return hashlib.blake2b(b" ".join(piece.translate(_FOLD).split()), digest_size=16).digest()
 
 
 def identified(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """ID, doc_id, text and ``carry``."""
-    return docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.xxhash64(F.col("doc_id").isNull(), "text").alias("x"), "doc_id", "text", *carry)
+    return docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), row_hash("doc_id", "text").alias("x"), "doc_id", "text", *carry)
+
+
+#: The second hash of words: a class or a window is known by 128 bits.
+SEED = 0x5EED
 
 
-def anchors(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of texts -> anchor hash, class (the anchor and all words of the windows it serves), packed run of windows; and each text's first."""
+def anchors(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Two word hashes of texts -> anchor hash, class (two hashes of the anchor and all words of the windows it serves), packed run of windows; and each text's first."""
     n = hashes.size - MIN_WORDS + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
-        return none, none, none, np.zeros(first.size, np.int64)
-    prefix = K.prefix_hash(hashes)
+        return none, none, none, none, np.zeros(first.size, np.int64)
     at = np.arange(hashes.size - GRAM + 1)
-    grams = K.span_hash(prefix, at, at + GRAM)
+    grams = K.tree(hashes, at, np.full(at.size, GRAM))
     # The leftmost smallest of each MIN_WORDS - GRAM + 1 grams, by doubling.
     low, width, size = grams, 1, MIN_WORDS - GRAM + 1
     while width < size:
@@ -94,14 +78,14 @@ def anchors(hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarr
     text = np.repeat(np.arange(first.size - 1), np.diff(first))
     start = np.flatnonzero(text[:n] == text[MIN_WORDS - 1 :])
     if not start.size:
-        return none, none, none, np.zeros(first.size, np.int64)
+        return none, none, none, none, np.zeros(first.size, np.int64)
     at, text = at[start], text[start]
     head = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (text[1:] != text[:-1]))))
     count = np.diff(np.append(head, start.size))
     start, at, text = start[head], at[head], text[head]
-    whole = K.span_hash(prefix, start, start + count - 1 + MIN_WORDS)
-    cls = K.mix(whole ^ K.mix((at - start).astype(np.uint64) * K.U64(SPAN) + count.astype(np.uint64) + K.U64(1)))
-    return grams[at].view(np.int64), cls.view(np.int64), (start - first[text]) * SPAN + count, np.searchsorted(text, np.arange(first.size))
+    place = K.mix((at - start).astype(np.uint64) * K.U64(SPAN) + count.astype(np.uint64) + K.U64(1))
+    one, two = (K.mix(K.tree(h, start, count - 1 + MIN_WORDS) ^ place).view(np.int64) for h in (hashes, second))
+    return grams[at].view(np.int64), one, two, (start - first[text]) * SPAN + count, np.searchsorted(text, np.arange(first.size))
 
 
 def paragraphs(data: bytes) -> list[tuple[int, int]]:
@@ -139,40 +123,39 @@ def paragraphs(data: bytes) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-HASHED = "doc long, x long, hs array<long>, ps array<long>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, at array<long>"
+HASHED = "doc long, x long, ps array<binary>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, ac2 array<long>, at array<long>"
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """HASHED rows: sentence hashes by position (0: too short to count); of the paragraphs of MIN_WORDS words hash, band keys and signature; anchors."""
+    """HASHED rows: of the paragraphs of MIN_WORDS words digest, band keys and signature; of the word windows the anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = K.MinHash(*PARAGRAPHS)
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                hs, lines, line_hash, count = [], [], [], []
+                lines, digests, count = [], [], []
                 for text in part.column(2):
                     data = (text.as_py() or "").encode()
-                    hs.append([h if n >= 3 else 0 for h, n in (word_hash(data[a:b]) for a, b, _ in pieces(data))])
-                    own = [(data[a:b], word_hash(data[a:b])[0]) for a, b in paragraphs(data)]
-                    lines += [x for x, _ in own]
-                    line_hash += [h for _, h in own]
+                    own = [data[a:b] for a, b in paragraphs(data)]
+                    lines += own
+                    digests += map(word_digest, own)
                     count.append(len(own))
                 keys, sigs = np.zeros((len(lines), sketch.bands), np.int64), np.zeros((len(lines), -(-sketch.a.size * sketch.bits // 64)), np.int64)
                 for i, j, bytes_, offsets in K.chunks(pa.array(lines, pa.binary())):
                     keys[i:j], sigs[i:j] = sketch(*K.distinct(*K.shingles(*K.words(bytes_, offsets))))
                 ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
-                nested = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(line_hash, pa.int64()), K.matrix_array(keys), K.matrix_array(sigs))]
-                found = [anchors(*K.words(bytes_, offsets)) for _, _, bytes_, offsets in K.chunks(part.column(2))]
-                ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[3]) for x in found]))))
-                served = [K.list_array(np.concatenate([x[k] for x in found]), ends) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hs, pa.list_(pa.int64())), *nested, *served], [x.split()[0] for x in HASHED.split(", ")])
+                nested = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(digests, pa.binary()), K.matrix_array(keys), K.matrix_array(sigs))]
+                found = [anchors(*K.words(bytes_, offsets), K.words(bytes_, offsets, SEED)[0]) for _, _, bytes_, offsets in K.chunks(part.column(2))]
+                ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[4]) for x in found]))))
+                served = [K.list_array(np.concatenate([x[k] for x in found]), ends) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *nested, *served], [x.split()[0] for x in HASHED.split(", ")])
 
     return docs.select(*ID, "text").mapInArrow(run, HASHED)
 
 
 def windows(docs: DataFrame) -> DataFrame:
-    """(ID, at, w): the hash of every window in the packed runs ``runs`` (array<long>) of each document; at is packed for it alone."""
+    """(ID, at, w, w2): the hashes of every window in the packed runs ``runs`` (array<long>) of each document; at is packed for it alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,77 +164,70 @@ def windows(docs: DataFrame) -> DataFrame:
                 first, count = runs // SPAN, runs % SPAN
                 start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 for _, _, data, offsets in K.chunks(batch.column(2).slice(at, 1)):
-                    w = K.span_hash(K.prefix_hash(K.words(data, offsets)[0]), start, start + MIN_WORDS)
+                    both = [pa.array(K.tree(K.words(data, offsets, seed)[0], start, np.full(start.size, MIN_WORDS)).view(np.int64)) for seed in (0, SEED)]
                     same = [pa.array(np.full(start.size, batch.column(k)[at].as_py(), np.int64)) for k in (0, 1)]
-                    yield pa.RecordBatch.from_arrays([*same, pa.array(start * SPAN + 1), pa.array(w.view(np.int64))], [*ID, "at", "w"])
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(start * SPAN + 1), *both], [*ID, "at", "w", "w2"])
 
-    return docs.select(*ID, "text", "runs").mapInArrow(run, "doc long, x long, at long, w long")
+    return docs.select(*ID, "text", "runs").mapInArrow(run, "doc long, x long, at long, w long, w2 long")
 
 
 def repeated_windows(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(ID, seen): packed runs of the windows of each document that are not the first of their words."""
-    all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.at")
-    again = all_.groupBy("ah").agg(F.count("*").alias("n"), (F.min("ac") < F.max("ac")).alias("mixed")).where("n > 1").select("ah", "mixed")
-    met = scratch.cut(all_.join(again, "ah").select(*ID, "ac", "at", "mixed"), "met")
-    classes = met.groupBy("ac").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f"), F.max("mixed").alias("mixed"))
+    all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "ac2", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.ac2", "a.at")
+    again = all_.groupBy("ah").agg(F.count("*").alias("n"), (F.min(F.struct("ac", "ac2")) < F.max(F.struct("ac", "ac2"))).alias("mixed")).where("n > 1").select("ah", "mixed")
+    met = scratch.cut(all_.join(again, "ah").select(*ID, "ac", "ac2", "at", "mixed"), "met")
+    classes = met.groupBy("ac", "ac2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f"), F.max("mixed").alias("mixed"))
     classes = scratch.cut(classes, "classes")
-    same = met.join(classes.where("n > 1").select("ac", "f"), "ac").where("struct(doc, x, at) <> f").select(*ID, "at")
+    same = met.join(classes.where("n > 1").select("ac", "ac2", "f"), ["ac", "ac2"]).where("struct(doc, x, at) <> f").select(*ID, "at")
     runs = scratch.cut(classes.where("mixed").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_list("f.at").alias("runs")), "runs")
     own = scratch.cut(windows(docs.join(runs, ID).dropDuplicates(ID)), "windows")
-    first = own.groupBy("w").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f")).where("n > 1").select("w", "f")
-    edges = own.join(first, "w").where("struct(doc, x, at) <> f").select(*ID, "at")
+    first = own.groupBy("w", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f")).where("n > 1").select("w", "w2", "f")
+    edges = own.join(first, ["w", "w2"]).where("struct(doc, x, at) <> f").select(*ID, "at")
     out = scratch.cut(same.unionByName(edges).groupBy(*ID).agg(F.collect_set("at").alias("seen")), "seen")
     scratch.drop(met, classes, runs, own)
     return out
 
 
-def paragraph_sets(docs: DataFrame) -> DataFrame:
-    """(id, items) of the paragraphs listed in ``wanted`` (array<long>) of each document."""
+def paragraph_texts(docs: DataFrame) -> DataFrame:
+    """(id, text) of the paragraphs listed in ``wanted`` (array<struct<pos, id>>) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lines = [], []
             for at in range(batch.num_rows):
-                wanted = set(batch.column(1)[at].as_py())
                 data = (batch.column(0)[at].as_py() or "").encode()
-                for a, b in paragraphs(data):
-                    h, _ = word_hash(data[a:b])
-                    if h in wanted:
-                        wanted.discard(h)
-                        ids.append(h)
-                        lines.append(data[a:b])
-            for i, j, data, offsets in K.chunks(pa.array(lines, pa.binary())):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), K.list_array(*K.distinct(*K.shingles(*K.words(data, offsets))))], ["id", "items"])
+                own = paragraphs(data)
+                wanted = [(w["id"], data[slice(*own[w["pos"]])].decode()) for w in batch.column(1)[at].as_py()]
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in wanted], pa.int64()), pa.array([t for _, t in wanted], pa.string())], ["id", "text"])
 
-    return docs.select("text", "wanted").mapInArrow(run, "id long, items array<long>")
+    return docs.select("text", "wanted").mapInArrow(run, "id long, text string")
 
 
 CLEANED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def cleaned(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, text, again: positions of sentences seen before, near: positions of paragraphs to remove and of their component's first if that is in the same document, seen: runs of windows seen before) -> CLEANED rows and ``carry``."""
+    """(doc_id, text, near: positions of paragraphs to remove and of their component's first if that is in the same document, seen: runs of windows seen before) -> CLEANED rows and ``carry``."""
     carried = [docs.schema[c] for c in carry]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part, rows = batch.slice(at, 128), []
-                for text, again, near, seen in zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True):
+                for text, near, seen in zip(*(part.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
                     data = (text or "").encode()
-                    spans = removed_spans(data, set(again or ()), [tuple(x.values()) for x in near or ()], seen or []) if again or near or seen else []
+                    spans = removed_spans(data, [tuple(x.values()) for x in near or ()], seen or []) if near or seen else []
                     kept, end = [], 0
                     for a, b in spans:
                         kept.append(data[end:a])
                         end = b
                     kept = b"".join([*kept, data[end:]])
-                    if spans:
-                        kept = kept.removesuffix(b"\n")
+                    if spans and spans[-1][1] == len(data) and not data.endswith(b"\n"):
+                        kept = kept.removesuffix(b"\n")  # the line end that stood before a passage at the text's end
                     rows.append((len(data), len(data) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), text if text is None else kept.decode()))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)), *(part.column(5 + k) for k in range(len(carry)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[k] for r in rows], pa.int64() if k < 3 else pa.string()) for k in range(5)), *(part.column(4 + k) for k in range(len(carry)))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text", *carry])
 
     schema = StructType([*_parse(CLEANED), *carried])
-    return docs.select("doc_id", "text", "again", "near", "seen", *carry).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "near", "seen", *carry).mapInArrow(run, schema)
 
 
 def _parse(ddl: str) -> list[StructField]:
@@ -259,39 +235,28 @@ def _parse(ddl: str) -> list[StructField]:
     return [StructField(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(", "))]
 
 
-def removed_spans(data: bytes, again: set[int], near: list[tuple[int, int | None]], seen: list[int]) -> list[tuple[int, int]]:
-    """Byte ranges of the runs of words to remove. A piece of under three words joins a run it stands inside of."""
-    gap = K.IS_SPACE[np.frombuffer(data, np.uint8)]
-    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
-    ends = np.flatnonzero(~gap & np.concatenate((gap[1:], [True]))) + 1
-    repeated = np.zeros(starts.size + 1, bool)
+def removed_spans(data: bytes, near: list[tuple[int, int | None]], seen: list[int]) -> list[tuple[int, int]]:
+    """Byte ranges of the runs of words to remove: those of windows seen before and of removed paragraphs."""
+    starts, ends = K.word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    repeated = np.zeros(starts.size, bool)
     for r in seen:
         repeated[r // SPAN : r // SPAN + r % SPAN - 1 + MIN_WORDS] = True
-    own = pieces(data)
-    bounds = np.searchsorted(starts, [a for a, _, _ in own] + [len(data)])
-    for k in again:
-        repeated[bounds[k] : bounds[k + 1]] = True
     blocks = paragraphs(data) if near else []
     for k, first in near:
         a, b = blocks[k]
         # A line and the wrapped block around it may be near each other; neither repeats the other.
         if first is None or blocks[first][1] <= a or b <= blocks[first][0]:
             repeated[np.searchsorted(starts, a) : np.searchsorted(starts, b)] = True
-    marked = repeated.copy()
-    for i, j in zip(bounds[:-1], bounds[1:], strict=True):
-        if 0 < i < j < i + 3 and marked[i - 1] and repeated[j]:
-            marked[i:j] = True
-    turn = np.flatnonzero(np.diff(np.concatenate(([False], marked[:-1], [False])).astype(np.int8)))
+    turn = np.flatnonzero(np.diff(np.concatenate(([False], repeated, [False])).astype(np.int8)))
     spans = []
     for i, j in zip(turn[::2], turn[1::2], strict=True):
-        if repeated[i:j].sum() >= MIN_WORDS:
-            line = data.rfind(b"\n", 0, starts[i]) + 1
-            opens = not data[line : starts[i]].strip()
-            end = int(starts[j]) if j < starts.size else len(data)
-            tail = data.find(b"\n", ends[j - 1], end)
-            # A run from inside a line leaves the line's end; one of whole lines takes it along, and no indentation of the next.
-            end = end if tail < 0 else tail + opens
-            spans.append((line if opens else int(starts[i]), end))
+        line = data.rfind(b"\n", 0, starts[i]) + 1
+        opens = not data[line : starts[i]].strip()
+        end = int(starts[j]) if j < starts.size else len(data)
+        tail = data.find(b"\n", ends[j - 1], end)
+        # A run from inside a line leaves the line's end; one of whole lines takes it along, and no indentation of the next.
+        end = end if tail < 0 else tail + opens
+        spans.append((line if opens else int(starts[i]), end))
     return spans
 
 
@@ -301,30 +266,27 @@ def remove_repeats(docs: DataFrame, percent: int = 80, carry: tuple[str, ...] =
     docs = identified(docs, carry)
     rows = scratch.cut(hashed(docs), "hashed")
     seen = repeated_windows(rows, docs, scratch)
-    # Sentences: all but the first occurrence of each hash. Counted and reduced before anything is joined.
-    flat = rows.select(*ID, F.posexplode("hs").alias("pos", "h")).where("h <> 0")
-    first = flat.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "pos")).alias("f")).where("n > 1").select("h", "f")
-    again = flat.join(first, "h").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set("pos").alias("again"))
-    again = scratch.cut(again, "again")
-    # Paragraphs: one representative for each hash, near components of these, then all but the first of a component.
-    own = rows.select(*ID, F.posexplode(F.arrays_zip("ps", "keys", "sigs")).alias("pos", "p")).select(*ID, "pos", F.col("p.ps").alias("id"), F.col("p.keys").alias("keys"), F.col("p.sigs").alias("sig"))
-    where = scratch.cut(own.select(*ID, "pos", "id"), "paragraphs")
-    at = scratch.cut(where.groupBy("id").agg(F.min(F.struct(*ID, "pos")).alias("f")), "first")
-    reps = scratch.cut(own.join(at.select("f.doc", "f.x", "f.pos"), [*ID, "pos"], "left_semi").dropDuplicates(["id"]).select("id", "keys", "sig"), "reps")
+    # Paragraphs: one representative for each digest, near components of these, then all but the first of a component.
+    own = rows.select(*ID, F.posexplode(F.arrays_zip("ps", "keys", "sigs")).alias("pos", "p")).select(*ID, "pos", "p.ps", F.col("p.keys").alias("keys"), F.col("p.sigs").alias("sig"))
+    where = scratch.cut(own.select(*ID, "pos", "ps"), "paragraphs")
+    # A class has a number of its own, fixed by writing it.
+    at = where.groupBy("ps").agg(F.min(F.struct(*ID, "pos")).alias("f"))
+    at = scratch.cut(at.select(F.monotonically_increasing_id().alias("id"), "ps", "f"), "first")
+    reps = scratch.cut(own.join(at.select("id", "f.doc", "f.x", "f.pos"), [*ID, "pos"]).dropDuplicates(["id"]).select("id", "keys", "sig"), "reps")
     scratch.drop(rows)
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = ids.join(at, "id").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_set("id").alias("wanted"))
-        return paragraph_sets(docs.select(*ID, "text").join(wanted, ID))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.join(at, "id").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_list(F.struct("f.pos", "id")).alias("wanted"))
+        return paragraph_texts(docs.select(*ID, "text").join(wanted, ID).dropDuplicates(ID))
 
-    found = near_components(reps, sets_of, percent, scratch, K.MinHash(*PARAGRAPHS))
+    found = near_components(reps, texts_of, percent, scratch, K.MinHash(*PARAGRAPHS))
     named = at.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     firsts = named.groupBy("component").agg(F.min("f").alias("f"))
-    named = named.select("id", "component").join(firsts, "component").select("id", "f")
-    near = where.join(named, "id").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set(F.expr("struct(pos, if(doc = f.doc and x = f.x, f.pos, null) as first)")).alias("near"))
+    named = named.select("ps", "component").join(firsts, "component").select("ps", "f")
+    near = where.join(named, "ps").where("struct(doc, x, pos) <> f").groupBy(*ID).agg(F.collect_set(F.expr("struct(pos, if(doc = f.doc and x = f.x, f.pos, null) as first)")).alias("near"))
     near = scratch.cut(near, "near")
     scratch.drop(where, at, reps, found)
-    return cleaned(docs.join(again.join(near, ID, "full_outer").join(seen, ID, "full_outer"), ID, "left"), carry)
+    return cleaned(docs.join(near.join(seen, ID, "full_outer"), ID, "left"), carry)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

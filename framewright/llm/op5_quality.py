@@ -56,11 +56,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pairs = h.copy()
     pairs[1:] = K.mix(h[1:] * K.U64(31) + h[:-1])
     # Per word: does it hold an upper case letter that is not its first, a symbol, a shout.
-    gap = K.IS_SPACE[data]
-    edge = np.zeros(data.size + 1, bool)
-    edge[offsets] = True
-    starts = np.flatnonzero(~gap & (np.concatenate(([True], gap[:-1])) | edge[:-1])) if data.size else np.zeros(0, np.int64)
-    ends = np.flatnonzero(~gap & (np.concatenate((gap[1:], [True])) | edge[1:])) + 1 if data.size else starts
+    starts, ends = K.word_bounds(data, offsets)
     marks = np.zeros((4, h.size), np.int8)
     for k, c in ((0, 0), (1, 1), (2, 3)):
         run = np.concatenate(([0], np.cumsum(_CLASS[c][data], dtype=np.int64)))

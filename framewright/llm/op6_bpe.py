@@ -2,7 +2,7 @@
 
 A text is normalised and split into pieces exactly as the tokenizer's file says; every distinct piece is spelled in
 the byte alphabet, encoded once per worker, and remembered (a bounded memo). Pieces of up to ``LEAF`` symbols take the
-library's merges, longer ones (which it merges in more than linear time) the tree below.
+library's merges, longer ones the tree below.
 
 Tree concatenation: a piece longer than ``LEAF`` symbols (long unsplit text) is cut into leaves that are encoded
 independently; neighbours are then joined pairwise, level by level. Leaves, and the joins of a level, of a piece of more

@@ -1,7 +1,12 @@
-"""Vectorised hashing of texts: byte chunks of Arrow batches, words, word shingles, MinHash signatures."""
+"""Vectorised hashing of texts: byte chunks of Arrow batches, words, word shingles, MinHash signatures.
+
+Words, shingles and word windows are hashed by chains and trees of a bijective mixer, never by a polynomial, whose value
+is the same for whole families of different texts. ``prefix_hash`` is a polynomial: it only picks places to compare bytes at.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -12,10 +17,13 @@ U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240817)
-#: A random 64-bit value for each byte, A-Z folded for words.
+#: A random 64-bit value for each byte.
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-FOLDED = BYTE.copy()
-FOLDED[65:91] = BYTE[97:123]
+#: A-Z folded.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+#: Words of more bytes take a library's digest.
+LONG_WORD = 512
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -76,14 +84,63 @@ def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start])
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z folded) and, for each text, the index of its first word; one more at the end."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words; none crosses the end of a text."""
     gap = IS_SPACE[data]
     edge = np.zeros(data.size + 1, bool)
     edge[offsets] = True
-    starts = np.flatnonzero(~gap & (np.concatenate(([True], gap[:-1])) | edge[:-1])) if data.size else np.zeros(0, np.int64)
-    ends = np.flatnonzero(~gap & (np.concatenate((gap[1:], [True])) | edge[1:])) + 1 if data.size else starts
-    return span_hash(prefix_hash(FOLDED[data]), starts, ends), np.searchsorted(starts, offsets)
+    if not data.size:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    starts = np.flatnonzero(~gap & (np.concatenate(([True], gap[:-1])) | edge[:-1]))
+    return starts, np.flatnonzero(~gap & (np.concatenate((gap[1:], [True])) | edge[1:])) + 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z folded) and, for each text, the index of its first word; one more at the end.
+
+    Each word is read eight bytes at a time, and each eight are mixed with what came before.
+    """
+    starts, ends = word_bounds(data, offsets)
+    first = np.searchsorted(starts, offsets)
+    folded = np.concatenate((FOLD[data], np.zeros(8, np.uint8)))
+    eight = np.ndarray((data.size + 1,), "<u8", folded, strides=(1,))
+    size = ends - starts
+    out = mix(size.astype(U64) * U64(_BASE) + U64(seed))
+    long = np.flatnonzero(size > LONG_WORD)
+    at, k = np.flatnonzero((size > 0) & (size <= LONG_WORD)), 0
+    while at.size:
+        left = np.minimum(size[at] - 8 * k, 8).astype(U64)
+        part = eight[starts[at] + 8 * k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - left * U64(8)))
+        out[at] = mix((out[at] ^ part) * U64(_BASE) + U64(k + 1))
+        k += 1
+        at = at[size[at] > 8 * k]
+    for i in long:
+        out[i] = int.from_bytes(hashlib.blake2b(folded[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return out, first
+
+
+def chain(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words begin to begin + size - 1, one after the other."""
+    out = mix(size.astype(U64) + U64(_BASE))
+    for k in range(int(size.max()) if size.size else 0):
+        at = slice(None) if int(size.min()) > k else np.flatnonzero(size > k)
+        out[at] = mix(out[at] * U64(_BASE) ^ hashes[begin[at] + k])
+    return out
+
+
+def tree(hashes: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the words begin to begin + size - 1, from hashes of 1, 2, 4, ... words: two of the largest that fits cover a span."""
+    out = np.zeros(begin.size, U64)
+    if not begin.size:
+        return out
+    level, have, most = hashes, 1, int(size.max())
+    while True:
+        at = np.flatnonzero((size >= have) & (size < 2 * have))
+        out[at] = mix(mix(level[begin[at]] * U64(_BASE) + size[at].astype(U64)) ^ level[begin[at] + size[at] - have] * U64(_INV))
+        if 2 * have > most:
+            return out
+        level = mix(mix(level[:-have] * U64(_BASE) + U64(have)) ^ level[have:])
+        have *= 2
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +152,30 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int = 5) -> tuple[np.ndar
     if not total:
         return np.zeros(0, U64), out_first
     begin = np.repeat(first[:-1] - out_first[:-1], size) + np.arange(total)
-    short = np.repeat(count < n, size)
-    end = np.where(short, np.repeat(first[1:], size), begin + n)
-    return span_hash(prefix_hash(hashes), begin, end), out_first
+    return chain(hashes, begin, np.repeat(np.minimum(count, n), size)), out_first
+
+
+def shared_shingles(a: str, b: str, n: int = 5) -> tuple[int, int]:
+    """Sizes of the intersection and of the union of two texts' sets of n-word shingles, from the words themselves."""
+    one, two = (x.encode().translate(FOLD.tobytes()).split() for x in (a, b))
+    if len(one) + len(two) < 50_000:
+        x, y = ({tuple(own)} if 0 < len(own) < n else set(zip(*(own[k:] for k in range(n)), strict=False)) for own in (one, two))
+        both = len(x & y)
+        return both, len(x) + len(y) - both
+    ids: dict[bytes, int] = {}
+    # Each word is its number among the distinct words, so a shingle is a row of numbers and equality is exact.
+    rows = []
+    for own in (one, two):
+        w = np.fromiter((ids.setdefault(x, len(ids)) for x in own), np.int64, len(own))
+        short = 0 < w.size < n
+        rows.append(np.pad(w, (0, n - w.size), constant_values=-1)[None] if short else np.lib.stride_tricks.sliding_window_view(w, n) if w.size else np.zeros((0, n), np.int64))
+    code = np.concatenate([r[:, 0] for r in rows]) + 1
+    for k in range(1, n):
+        code = code * (len(ids) + 1) + np.concatenate([r[:, k] for r in rows]) + 1
+        code = np.unique(code, return_inverse=True)[1]
+    x, y = np.unique(code[: len(rows[0])]), np.unique(code[len(rows[0]) :])
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return both, x.size + y.size - both
 
 
 def distinct(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
