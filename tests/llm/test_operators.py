@@ -256,6 +256,43 @@ def test_licences_by_canonical_digest(docs):
     assert out[3].n_notices == 0 and out[4].licence is None
 
 
+def test_every_row_has_its_own_notices(docs):
+    note = "Released under the MIT License."
+    rows = [(None, note), (None, "plain"), (7, note), (7, "plain"), (8, note), (8, note), (9, None)]
+    out = sorted(((x.doc_id, x.n_notices, x.notices, x.licence) for x in TEXT_OPS["op7"](docs(rows, extra=True)).collect()), key=str)
+    assert out == sorted([(None, 1, "MIT", "MIT"), (None, 0, "", None), (7, 1, "MIT", "MIT"), (7, 0, "", None), (8, 1, "MIT", "MIT"), (8, 1, "MIT", "MIT"), (9, 0, "", None)], key=str)
+
+
+def test_entire_licences_are_found_in_their_usual_forms(docs):
+    """Every full text with its titles, other holders, other case and wrapping; long ones from the system's folder of licences, where there is one."""
+    import textwrap
+    from pathlib import Path
+
+    want, texts = {}, []
+
+    def add(name, text):
+        want[len(texts)] = name
+        texts.append(text)
+
+    for name, body in op7_license.KNOWN:
+        if len(body) < 300:
+            continue
+        title, rest = body.split("\n", 1) if len(body.split("\n", 1)[0]) < 40 else ("", body)
+        for holder in ("Copyright (c) 2024 Jane Doe", "Copyright (c) Jane Doe", "Copyright <year> <holders>", "(c) by Jane Doe\nAll rights reserved."):
+            add(name, f"{title}\n\n{holder}\n\n" + "\n\n".join(textwrap.fill(x, 72) for x in rest.split("\n")).replace("license", "licence") + "\n")
+        add(name, body.upper())
+        add(None, body + " And one more clause.")
+        add(None, body.replace(" without ", " with ", 1) if " without " in body else body[9:])
+    folder, files = Path("/usr/share/common-licenses"), {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for file, name in files.items():
+        if (folder / file).exists():
+            body = (folder / file).read_text()
+            add(name, body.replace(" ", "  ").upper())
+            add(None, body[: len(body) // 2])
+    out = {x.doc_id: x.licence for x in TEXT_OPS["op7"](docs(list(enumerate(texts)))).collect()}
+    assert out == want
+
+
 def test_embedding_links_equal_brute_force(spark):
     r = np.random.default_rng(3)
     base = r.standard_normal((30, 16))
