@@ -15,19 +15,22 @@ All work on a pair is done within its row, over arrays whose length follows the
 own, so no step is larger than one region.
 
 Cases: null and empty texts have no digests; two texts without digests are alike (1), one without and one with are
-not (0); a table of one row has itself as the next document; equal doc_ids stand in the order of their texts.
+not (0); a table of one row has itself as the next document; rows of one doc_id stand in the order of a hash of their texts
+(descending), rows with a null doc_id after all others; equal rows are interchangeable.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from framewright.llm.common import Scratch, table, utf8
 
 BLOCK_WORDS, SUB, RETRIES = 32, 16, 3
-#: Ranges of doc_ids at most; their first ids are broadcast (2 MB).
-MAX_CELLS = 1 << 16
+#: Ranges of doc_ids at most, found by quantiles of quantiles; their edges and first ids are broadcast (a few MB).
+MAX_CELLS, LEVELS = 1 << 16, 3
 #: Digests of both versions together that a region is sized for; it peels reliably up to about twice as many.
 LOAD = 24
 _BLOCK = rf"(?:[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*){{1,{BLOCK_WORDS}}}"
@@ -61,11 +64,16 @@ def _at(place: str, i: str) -> str:
 
 
 def _sketch(digests: str, regions: str, salt: int) -> str:
-    """Regions of cells: array<array<struct<c int, x long>>>; a region's cells are 4 sub-tables of SUB cells, one after the other."""
+    """Regions of cells: array<array<struct<c int, x long>>>; a region's cells are 4 sub-tables of SUB cells, one after the other.
+
+    Digests are dealt to about sqrt(regions) groups first and from these to regions, so none is looked at once a region.
+    """
     placed = f"transform({digests}, d -> named_struct('d', d, 'r', pmod(hash(d, {salt}), regions), 'p', {_place('d', salt)}))"
     cell = f"aggregate(own, named_struct('c', 0, 'x', 0L), (a, e) -> if({_at('e.p', 'i')}, named_struct('c', a.c + 1, 'x', a.x ^ e.d), a))"
-    region = _let("filter(placed, e -> e.r = r)", "own", f"transform(sequence(0, {4 * SUB - 1}), i -> {cell})")
-    return _let(regions, "regions", _let(placed, "placed", f"transform(sequence(0, regions - 1), r -> {region})"))
+    region = _let("filter(part, e -> e.r = g * each + f)", "own", f"transform(sequence(0, {4 * SUB - 1}), i -> {cell})")
+    group = _let("if(each = regions, placed, filter(placed, e -> e.r div each = g))", "part", f"transform(sequence(0, each - 1), f -> {region})")
+    each = "cast(pow(2, ceil(log2(regions) / 2)) as int)"
+    return _let(regions, "regions", _let(placed, "placed", _let(each, "each", f"flatten(transform(sequence(0, regions div each - 1), g -> {group}))")))
 
 
 def _subtract(a: str, b: str) -> str:
@@ -114,27 +122,51 @@ def _text(digests: str) -> str:
     return f"concat('iblt1 ', size({digests}), ' ', {regions}, ' ', array_join({cells}, ' '))"
 
 
+def placed_in_cells(rows: DataFrame, scratch: Scratch, cells: int, rows_a_cell: int) -> DataFrame:
+    """rows (key, tie, ...) with ``cell``: numbers that rise with (key, tie), of about rows_a_cell rows each.
+
+    Cells are cut by rank: quantiles of the keys, then quantiles within each of these, ``LEVELS`` times. A cell with
+    more rows than twice its share has one key (quantiles repeat); it is cut by ties, and where all its ties are equal
+    too, its rows are equal and are dealt out. Edges and sizes are broadcast: at most MAX_CELLS cells and those cuts.
+    """
+    fan = max(1, min(64, math.ceil(cells ** (1 / LEVELS))))
+    keys = rows.select("key", "tie", F.lit(0).cast("long").alias("cell"))
+    edges = []
+    for _ in range(LEVELS if cells > 1 else 0):
+        cut = keys.groupBy("cell").agg(F.percentile_approx("key", [k / fan for k in range(1, fan)], 2000).alias("edges")) if fan > 1 else None
+        if cut is None:
+            break
+        edges.append(scratch.cut(cut, "edges"))
+        keys = _deeper(keys, edges[-1], fan)
+    for e in edges:
+        rows = _deeper(rows if "cell" in rows.columns else rows.withColumn("cell", F.lit(0).cast("long")), e, fan)
+    rows = rows if edges else rows.withColumn("cell", F.lit(0).cast("long"))
+    sizes = keys.groupBy("cell").agg(F.count("*").alias("m"), (F.min("key") < F.max("key")).alias("keys"), (F.min("tie") < F.max("tie")).alias("ties"))
+    sizes = sizes.select("cell", F.when(F.col("keys"), 1).otherwise(F.ceil(F.col("m") / (2 * rows_a_cell))).cast("long").alias("parts"), "ties")
+    sizes = scratch.cut(sizes.where("parts > 1"), "sizes")
+    by_tie = F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * F.col("parts"))
+    part = F.when(F.col("parts").isNull(), 0).when(F.col("ties"), F.least(by_tie, F.col("parts") - 1)).otherwise(F.pmod(F.monotonically_increasing_id(), F.col("parts")))
+    rows = rows.join(F.broadcast(sizes), "cell", "left")
+    return rows.withColumn("cell", F.struct("cell", part.cast("long").alias("part"))).drop("parts", "ties")
+
+
+def _deeper(rows: DataFrame, edges: DataFrame, fan: int) -> DataFrame:
+    at = F.size(F.filter("edges", lambda e: e <= F.col("key")))
+    return rows.join(F.broadcast(edges), "cell").withColumn("cell", F.col("cell") * fan + at).drop("edges")
+
+
 def neighbours(docs: DataFrame, scratch: Scratch, rows_a_cell: int = 1000) -> DataFrame:
     """Rows of (doc_id, text) with own digests and, from the next row in descending doc_id (after the last: the first), next_text and next.
 
-    Ranges of ids are cells: 64 ranges of about equal counts, each cut evenly. Every row goes to its cell, and the first of
-    each cell also, as a guest at the end, to the cell before it in order; so one shuffle brings every row together
-    with its successor. The first rows' ids, one a cell and at most ``MAX_CELLS``, are broadcast.
+    Every row goes to its cell (see ``placed_in_cells``), and the first of each cell also, as a guest at the end, to the cell
+    before it in order; so one shuffle brings every row together with its successor. The first rows, one a cell, are broadcast.
     """
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))  # nulls come last
     rows = docs.withColumn("key", key).withColumn("tie", F.xxhash64("text"))
-    total = rows.count()
-    cells = max(1, min(MAX_CELLS, total // rows_a_cell))
-    ranges = min(64, cells)
-    bounds = sorted(set(docs.select(F.percentile_approx("doc_id", [k / ranges for k in range(ranges + 1)], 10_000)).first()[0] or [0]))
-    edges = F.array(*[F.lit(int(b)) for b in bounds])
-    part = max(1, cells // ranges)
-    k = F.expr("cast(greatest(1, least(size(edges) - 1, size(filter(edges, b -> b <= key)))) as int)")
-    low, high = F.expr("element_at(edges, k)"), F.expr("element_at(edges, least(size(edges), k + 1))")
-    inside = F.greatest(F.lit(0), F.least(F.lit(part - 1), F.floor((F.col("key").cast("double") - low) / F.greatest(high - low, F.lit(1)) * part)))
-    rows = rows.withColumn("edges", edges).withColumn("k", k).withColumn("cell", (F.col("k") * part + inside).cast("long")).drop("edges", "k")
+    cells = max(1, min(MAX_CELLS, rows.count() // rows_a_cell))
+    rows = placed_in_cells(rows, scratch, cells, rows_a_cell)
     first = scratch.cut(rows.groupBy("cell").agg(F.max(F.struct("key", "tie")).alias("first")), "first")
-    down = Window.orderBy(F.desc("cell"))
+    down = Window.orderBy(F.desc("cell"))  # one small row a cell
     first = first.select("cell", "first", F.coalesce(F.lag("cell").over(down), F.min("cell").over(Window.partitionBy())).alias("guest_of"))
     placed = rows.withColumn("own", F.expr(_digests("text"))).join(F.broadcast(first), "cell")
     twice = F.when(F.struct("key", "tie") == F.col("first"), F.array(F.struct("cell", F.lit(False).alias("guest")), F.struct(F.col("guest_of").alias("cell"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct("cell", F.lit(False).alias("guest"))))
@@ -157,6 +189,3 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
-
-
-

@@ -64,6 +64,32 @@ def test_fingerprint_order_with_few_rows_a_cell(docs, prose, spark):
     assert {r.doc_id: r.next_text for r in got} == {i: texts[ids[(k + 1) % 50]] for k, i in enumerate(ids)}
 
 
+def test_fingerprint_order_of_skewed_hot_and_null_ids(docs, prose, spark):
+    """A third of the rows has one id, some no id, some are equal, and the others are far apart; no cell holds many rows."""
+    rows = [(7, prose(4, i)) for i in range(60)] + [(None, prose(4, 100 + i)) for i in range(10)] + [(9, "same")] * 40 + [(2 ** (i % 50) + 20, prose(4, 200 + i)) for i in range(60)]
+    d, scratch = docs(rows).select("doc_id", "text"), Scratch(spark, "t")
+    got = op1_fingerprint.neighbours(d, scratch, rows_a_cell=4).collect()
+    hashes = {r.text: r.h for r in d.selectExpr("text", "xxhash64(text) AS h").distinct().collect()}
+    order = sorted(rows, key=lambda r: (-(2**63) if r[0] is None else r[0], hashes[r[1]]), reverse=True)
+    want = [(i, t, order[(k + 1) % len(order)][1]) for k, (i, t) in enumerate(order)]
+    assert sorted(((r.doc_id, r.text, r.next_text) for r in got), key=str) == sorted(want, key=str)
+    keyed = d.selectExpr("coalesce(doc_id, -9223372036854775808) AS key", "xxhash64(text) AS tie")
+    sizes = [r["count"] for r in op1_fingerprint.placed_in_cells(keyed, scratch, len(rows) // 4, 4).groupBy("cell").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 24
+
+
+def test_sketches_of_long_texts_hold_every_digest(spark, docs):
+    """Of 3,000 blocks in many regions: the cells' counts are four a digest, and a few changed blocks are recovered."""
+    words = [f"w{i}" for i in range(3000)]
+    changed = ["x" if i % 500 == 7 else w for i, w in enumerate(words)]
+    a, b = ("\n".join(w) for w in (words, changed))
+    out = {r.doc_id: r for r in op1_fingerprint.fingerprints(docs([(2, a), (1, b)])).collect()}
+    head, n, regions, *cells = out[2].fingerprint.split(" ")
+    assert (head, n) == ("iblt1", "3000") and sum(int(c.split(":")[1], 16) for c in cells) == 12000
+    assert len({c.split(".")[0] for c in cells}) == int(regions) == 256
+    assert out[2].near_next == pytest.approx((2994) / (3000 + 2995 - 2994))
+
+
 def brute_repeats(texts, size=400):
     from collections import Counter
 
