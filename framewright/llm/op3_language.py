@@ -5,9 +5,9 @@ frequency. A text's profile is compared with each language's by the out-of-place
 n-gram's rank is from its rank there, ``TOP`` for one that is missing. The nearest language is the answer; the score
 is 1 less its distance over the largest possible one.
 
-Profiles are counted over the training texts of up to ``TRAIN_TEXTS`` documents a language (those with the smallest
-hashes among rows with a lang and crc32(doc_id as text) mod 3 not 1), in parallel; only ``TOP`` rows a language reach
-the driver. Every document is judged on its whole text; lang, source and doc_id are never inputs of a prediction.
+Profiles are counted over up to ``TRAIN_TEXTS`` different training texts a language (those with the smallest hashes of
+doc_id and text among rows with a lang and crc32(doc_id as text) mod 3 not 1), in parallel; only ``TOP`` rows a language
+reach the driver. Every document is judged on its whole text; lang, source and doc_id are never inputs of a prediction.
 
 Cases: a null text or one without a letter is ``und`` with score 0, as is every text when nothing can be learned; ties
 of frequency go to the smaller code points, ties of distance to the smaller language name.
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.common import table
+from framewright.llm.common import row_hash, table
 
 TOP, TRAIN_TEXTS = 300, 1000
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)])
@@ -82,10 +82,14 @@ class Profiles:
 def learn(docs: DataFrame, top: int = TOP, texts: int = TRAIN_TEXTS) -> Profiles:
     """Profiles from (doc_id, text, lang)."""
     usable = docs.where("lang is not null and text is not null").where(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3, F.lit(1)) != 1)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = usable.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= texts).select("doc_id").distinct()
-    count = texts * max(1, usable.select("lang").distinct().count())
-    ids = F.broadcast(chosen) if count <= 200_000 else chosen  # at most ``texts`` ids a language
+    usable = usable.select("lang", "text", row_hash("doc_id", "text").alias("h"))
+    # Of a language with very many rows only those below a hash that twice as many as are wanted stay under; the rest of
+    # the choice is among these few. Equal rows have equal hashes and count once.
+    share = F.least(F.lit(1.0), F.lit(2.0 * texts) / F.col("n"))
+    few = usable.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (share * 2.0**64 - 2.0**63).alias("limit"))
+    below = usable.select("lang", "h").join(few, "lang").where("h <= limit").select("lang", "h").distinct()
+    last = below.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= texts).groupBy("lang").agg(F.max("h").alias("last"))
+    chosen = usable.join(last, "lang").where("h <= last").groupBy("lang", "h").agg(F.first("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +97,7 @@ def learn(docs: DataFrame, top: int = TOP, texts: int = TRAIN_TEXTS) -> Profiles
                 grams, counts = ngrams(batch.column(1)[at].as_py())
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[at].as_py()] * grams.size, pa.string()), pa.array(grams), pa.array(counts)], ["lang", "gram", "n"])
 
-    counted = usable.join(ids, "doc_id", "left_semi").select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = chosen.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("r") <= top)
     ranked: dict[str, list[int]] = {}
     for row in best.orderBy("lang", "r").collect():

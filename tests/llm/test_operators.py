@@ -154,6 +154,36 @@ def test_language_held_out_accuracy(docs):
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 3 == 1) for i, x in out.items())
 
 
+def test_language_equals_brute_force(docs, prose):
+    """An own count of n-grams, ranks and distances in plain Python gives the same languages and scores."""
+    from collections import Counter
+
+    def ranked(texts, top):
+        counts = Counter()
+        for t in texts:
+            for word in "".join(c if c.isalpha() else " " for c in t.lower()).split():
+                padded = f" {word} "
+                counts.update(word)
+                counts.update(padded[k : k + 2] for k in range(len(padded) - 1))
+                counts.update(padded[k : k + 3] for k in range(len(padded) - 2))
+        return sorted(counts, key=lambda g: (-counts[g], len(g), g))[:top]  # shorter n-grams have smaller codes
+
+    r = random.Random(4)
+    sounds = {"aa": "kan tor mil des", "bb": "kan tul mil ves", "cc": "şo çık Öz tor", "dd": "日本 語 中文 tor"}
+    rows = [(i, " ".join("".join(r.choices(sounds[k].split(), k=2)) for _ in range(r.randint(1, 40))) + r.choice(["", "!", " 12"]), k, "s") for i in range(120) for k in [r.choice(list(sounds))]]
+    rows += [(500, "12 -", "aa", "s"), (501, None, "aa", "s"), (502, "", None, "s"), (None, "kantor", "aa", "s"), (503, "kantor", None, None)]
+    train = {k: [t for i, t, lang, _ in rows if lang == k and t is not None and i is not None and zlib.crc32(str(i).encode()) % 3 != 1] for k in sounds}
+    profiles = {k: {g: n for n, g in enumerate(ranked(t, 300))} for k, t in train.items()}
+    d = docs(rows)
+    out = {x.doc_id: x for x in op3_language.identify(d, op3_language.learn(d)).collect()}
+    for i, t, _, _ in rows:
+        own = ranked([t or ""], 300)
+        apart = {k: sum(min(300, abs(n - p[g])) if g in p else 300 for n, g in enumerate(own)) for k, p in profiles.items()}
+        want = min(sorted(apart), key=apart.get) if own else "und"
+        assert out[i].lang_pred == want
+        assert out[i].score == pytest.approx(1 - apart[want] / (300 * len(own)) if own else 0)
+
+
 def sainte_lague(votes, seats):
     got = [0] * len(votes)
     for _ in range(seats):
