@@ -349,13 +349,14 @@ def test_entire_licences_are_found_in_their_usual_forms(docs):
     assert out == want
 
 
-def test_embedding_links_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [1024, 20])
+def test_embedding_links_equal_brute_force(spark, block):
     r = np.random.default_rng(3)
     base = r.standard_normal((30, 16))
     rows = [(i, [float(x) for x in (base[i % 30] + 0.06 * r.standard_normal(16) * (i % 5)).astype(np.float32)], int(i % 30 > 20)) for i in range(240)]
     rows += [(900, rows[0][1], 0), (901, None, 0), (902, [0.0] * 16, 0), (903, [float("nan")] * 16, 0), (904, rows[0][1], None), (905, [], 0), (906, rows[0][1][:8], 0), (907, [None] * 16, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
-    out = {x.vec_id: x for x in op8_embeddings.near_duplicates(df, block=40).collect()}
+    out = {x.vec_id: x for x in op8_embeddings.near_duplicates(df, cell=40, block=block).collect()}
     ok = {i: np.array(v, float) for i, v, k in rows if k is not None and v and None not in v and np.isfinite(v).all() and np.any(v)}
     label = {i: k for i, _, k in rows}
     links = {i: {j for j in ok if j != i and label[i] == label[j] and ok[i].size == ok[j].size and ok[i] @ ok[j] / np.sqrt((ok[i] @ ok[i]) * (ok[j] @ ok[j])) >= 0.93} for i in ok}
@@ -371,6 +372,33 @@ def test_embedding_links_equal_brute_force(spark):
     assert op8_embeddings.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_embedding_ids_that_are_null_or_clash(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(None, a, 1), (None, a, 1), (3, a, 1), (5, b, 1), (5, a, 1), (6, [0.1, 1.0], 1), (None, [-1.0, 0.0], 1), (7, [1.0, 0.0, 0.0], 1)]
+    out = sorted((tuple(r) for r in op8_embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long").selectExpr("*", "1 AS id", "'x' AS cls", "2 AS n")).collect()), key=str)
+    want = [(None, 3, 3, False), (None, 3, 3, False), (3, 3, 3, True), (5, 1, 5, True), (5, 3, 3, False), (6, 1, 5, False), (None, 0, None, True), (7, 0, 7, True)]
+    assert out == sorted(want, key=str)
+
+
+def test_embedding_cells_find_links_with_work_near_to_linear():
+    """Recall over all pairs of many clusters at least 0.999; the counted pairs grow with the points, not with their square."""
+    r = np.random.default_rng(8)
+    work = {}
+    for n in (1000, 4000, 16000):
+        base = r.standard_normal((n // 2, 24))
+        v = np.concatenate((base, base + 0.36 * r.standard_normal(base.shape)))
+        v /= np.linalg.norm(v, axis=1)[:, None]
+        k, t = op8_embeddings.tables(n, cell=64)
+        c = op8_embeddings.codes(v, k, t)
+        half = n // 2
+        close = (v[:half] * v[half:]).sum(1)
+        true = np.flatnonzero((close >= 0.93) & (close < 0.95))
+        assert true.size > 40
+        assert (c[true] == c[true + half]).any(axis=1).mean() >= 0.999
+        work[n] = sum((np.unique(c[:, j], return_counts=True)[1].astype(float) ** 2).sum() for j in range(t)) / n
+    assert work[16000] < 4 * work[1000]  # 16 times the points: all pairs would be 16 times the work a point
+
+
 def test_near_duplicates_equal_brute_force(docs, prose):
     r = random.Random(5)
     texts = {}
