@@ -10,15 +10,23 @@ them) finds every repeat of every window.
 2. each task sorts the suffixes at the remaining anchors (hash, then bytes) and front-codes the sorted run: every
    suffix is stored as the length of the prefix it shares with the one before and the bytes after it;
    Of equal contexts within a task one travels, for all: their windows are repeated already;
-3. runs are exchanged by anchor hash (hot anchors: by hash, slice of window offsets, and the bytes that all windows
-   of the slice contain, so that only true repeats of nearly the whole window stay together), and each receiver combines them with a loser tree whose matches compare
+3. runs are exchanged by anchor hash, and each receiver combines them with a loser tree whose matches compare
    only bytes beyond the prefix both sides are known to share with the last winner;
 4. neighbours in the merged order that share whole contexts are repeats at once; anchors with several contexts
-   compare their windows, one (offset, 400 bytes) at a time, by 64-bit hashes within the anchor;
+   group their windows by hash and compare the bytes of each group, so that nothing but equal bytes is removed;
 5. repeated windows, as intervals, return to their documents and are cut out.
 
+Hot anchors (more than ``HOT`` occurrences) are exchanged in slices of ``SLICE`` window offsets, by the bytes that all windows
+of the slice contain; slices that occur once are dropped like anchors. A slice that is hot too and has several contexts (a
+passage's end with different bytes after it) is cut once more, into slices of ``FINE`` offsets. So what meets at one key
+is few occurrences, or copies of one context, of which a task sends one, or contexts that differ in ``FINE`` - 1 bytes at
+either end only, of which there are at most 256 ** 2.
+
+Texts are read in stretches of ``STRETCH`` bytes that overlap by a window, so memory does not follow the longest text.
+
 Cases: a null or empty text has no bytes and keeps the empty string; repeats inside one document count, and may
-overlap; rows are known by doc_id and text together, so repeated rows of one doc_id repeat each other.
+overlap; rows are known by doc_id and text together, so repeated rows of one doc_id (also of a null one) repeat each other,
+and different texts of one doc_id are documents each.
 """
 
 from __future__ import annotations
@@ -33,13 +41,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm import textkit as K
-from framewright.llm.common import Scratch, table
+from framewright.llm.common import Scratch, row_hash, table
 
 LENGTH, GRAM = 400, 145
+#: What a document is: its doc_id without nulls, and a hash of its doc_id's nullness and text.
+ID = ["doc", "x"]
 #: Suffix records of one exchanged run; about this many anchors are merged by a task at once.
 GROUP_ROWS = 30_000
 #: Anchors with more occurrences are split by window offset and by the bytes common to the windows of a slice.
-HOT, SLICE = 4096, 32
+HOT, SLICE, FINE = 4096, 32, 2
+STRETCH = 4 << 20
 #: Windows compared at once: the arrays for them take about 80 bytes each.
 SEGMENT_WINDOWS = 500_000
 
@@ -57,12 +68,15 @@ def _sliding(values: np.ndarray, size: int, best: np.ufunc) -> np.ndarray:
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, position, first window start, last window start) of a text's anchors, by position.
 
-    A window belongs to the rightmost of its smallest gram hashes.
+    A window belongs to the rightmost of its smallest gram hashes. An anchor whose windows lie in two stretches is two.
     """
     n = data.size - length + 1
     none = np.zeros(0, np.int64)
     if n <= 0:
         return none, none, none, none
+    if n > STRETCH:
+        parts = [(at, anchors(data[at : at + STRETCH + length - 1], length, gram)) for at in range(0, n, STRETCH)]
+        return tuple(np.concatenate([x[k] + (at if k else 0) for at, x in parts]) for k in range(4))
     prefix = K.prefix_hash(K.BYTE[data])
     at = np.arange(data.size - gram + 1)
     h = K.span_hash(prefix, at, at + gram)
@@ -87,19 +101,19 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(row_id, hs array<long>): the anchor hashes of every document, without repeats beyond two."""
+    """(doc, x, hs array<long>): the anchor hashes of every document, without repeats beyond two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, data, offsets in K.chunks(batch.column(1)):
+            for i, j, data, offsets in K.chunks(batch.column(2)):
                 parts = []
                 for a, b in zip(offsets[:-1], offsets[1:], strict=True):
                     h, n = np.unique(anchors(data[a:b])[0], return_counts=True)
                     parts.append(np.concatenate((h, h[n > 1])))
                 first = np.concatenate(([0], np.cumsum([p.size for p in parts])))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), K.list_array(np.concatenate(parts), first)], ["row_id", "hs"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), K.list_array(np.concatenate(parts), first)], ["doc", "x", "hs"])
 
-    return docs.select("row_id", "text").mapInArrow(run, "row_id long, hs array<long>")
+    return docs.select(*ID, "text").mapInArrow(run, "doc long, x long, hs array<long>")
 
 
 def front_code(keys: np.ndarray, suffixes: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray]:
@@ -223,7 +237,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int, int, int]]:
 def sorted_run(rows: list[tuple]) -> tuple[dict, list[tuple[int, int, int]]]:
     """One front-coded run of distinct contexts, and FOUND rows of those that occur twice here.
 
-    rows: (key, suffix, bytes before the anchor back to the first window, row, first window, last window).
+    rows: (key, suffix, bytes before the anchor back to the first window, doc, x, first window, last window).
     """
     rows.sort(key=lambda r: r[:3])
     kept, found, i = [], [], 0
@@ -232,32 +246,49 @@ def sorted_run(rows: list[tuple]) -> tuple[dict, list[tuple[int, int, int]]]:
         while j < len(rows) and rows[j][:3] == rows[i][:3]:
             j += 1
         if j > i + 1:
-            found += [(r[3], r[4], r[5] + LENGTH) for r in rows[i:j]]
-        kept.append((*rows[i][:5], j - i))
+            found += [(r[3], r[4], r[5], r[6] + LENGTH) for r in rows[i:j]]
+        kept.append((*rows[i][:6], j - i))
         i = j
     keys = np.array([r[0] for r in kept], np.int64)
     shared, data, lengths = front_code(keys, [r[1] for r in kept])
-    meta = np.array([[r[3], r[4], r[5], len(r[2])] for r in kept], np.int64)
+    meta = np.array([[r[3], r[4], r[5], r[6], len(r[2])] for r in kept], np.int64)
     return {"keys": keys.tobytes(), "shared": shared.tobytes(), "lengths": lengths.tobytes(), "data": data, "left": b"".join(r[2] for r in kept), "meta": meta.tobytes()}, found
 
 
-def slices(key: int, data: bytes, p: int, a: int, b: int, hot: bool) -> Iterator[tuple[int, int, int]]:
-    """(key, first window, last window): the anchor's windows, or for a hot anchor those of each slice of offsets."""
-    if not hot:
-        yield key, a, b
-        return
-    for low in range((p - b) // SLICE * SLICE, p - a + 1, SLICE):
-        core = data[p - low : p - low - SLICE + 1 + LENGTH]  # in every window that starts low to low + SLICE - 1 bytes before p
-        salt = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=(key % 2**64).to_bytes(8, "little") + bytes([low // SLICE])).digest(), "little", signed=True)
-        yield salt, max(a, p - low - SLICE + 1), min(b, p - low)
+def slices(key: int, data: bytes, p: int, a: int, b: int, step: int) -> Iterator[tuple[int, int, int]]:
+    """(key of its own, first window, last window) for each slice of ``step`` offsets of the windows a to b around the anchor at p."""
+    for low in range((p - b) // step * step, p - a + 1, step):
+        core = data[p - low : p - low - step + 1 + LENGTH]  # in every window that starts low to low + step - 1 bytes before p
+        own = int.from_bytes(hashlib.blake2b(core, digest_size=8, key=(key % 2**64).to_bytes(8, "little") + bytes([step, low // step])).digest(), "little", signed=True)
+        yield own, max(a, p - low - step + 1), min(b, p - low)
+
+
+def slice_rows(docs: DataFrame) -> DataFrame:
+    """(ID, text, hot: anchor hashes, deep: keys of their slices or null) -> (ID, key, whole) of the slices of hot anchors, or with ``deep`` of the finer slices of these; whole is a hash of all bytes of the slice's windows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                doc, x, text, hot, deep = (batch.column(c)[at].as_py() for c in range(5))
+                data, out = (text or "").encode(), []
+                h, pos, first, last = anchors(np.frombuffer(data, np.uint8))
+                for i in np.flatnonzero(np.isin(h, np.array(hot, np.int64))).tolist():
+                    p, own = int(pos[i]), slices(int(h[i]), data, int(pos[i]), int(first[i]), int(last[i]), SLICE)
+                    if deep is not None:
+                        wanted = set(deep)
+                        own = [fine for key, a, b in own if key in wanted for fine in slices(key, data, p, a, b, FINE)]
+                    out += [(key, int.from_bytes(hashlib.blake2b(data[a : b + LENGTH], digest_size=8).digest(), "little", signed=True)) for key, a, b in own]
+                yield pa.RecordBatch.from_arrays([*(pa.array([v] * len(out), pa.int64()) for v in (doc, x)), *(pa.array([o[k] for o in out], pa.int64()) for k in (0, 1))], [*ID, "key", "whole"])
+
+    return docs.select(*ID, "text", "hot", "deep").mapInArrow(run, "doc long, x long, key long, whole long")
 
 
 RUN = "part long, keys binary, shared binary, lengths binary, data binary, left binary, meta binary"
-FOUND = "row_id long, start long, stop long"
+FOUND = "doc long, x long, start long, stop long"
 
 
 def run_rows(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (row_id, text, hs, hot: repeated and hot anchor hashes) -> RUN rows, one for each part a task has suffixes of.
+    """docs (ID, text; repeated keys: hs of anchors, slices of the hot ones, fine ones of the slices ``deep``) -> RUN rows, one for each part a task has suffixes of.
 
     Rows of a negative part carry FOUND rows in ``meta``.
     """
@@ -277,21 +308,27 @@ def run_rows(docs: DataFrame, parts: int) -> DataFrame:
 
         for batch in batches:
             for at in range(batch.num_rows):
-                row_id, data = batch.column(0)[at].as_py(), (batch.column(1)[at].as_py() or "").encode()
-                wanted, hot = (np.array(batch.column(c)[at].as_py() or [], np.int64) for c in (2, 3))
+                doc, x, data = batch.column(0)[at].as_py(), batch.column(1)[at].as_py(), (batch.column(2)[at].as_py() or "").encode()
+                wanted, hot, *sliced = (batch.column(c)[at].as_py() or [] for c in range(3, 8))
+                coarse, deep, fine = map(set, sliced)
+                hot = set(hot)
                 h, pos, first, last = anchors(np.frombuffer(data, np.uint8))
-                is_hot = np.isin(h, hot)
-                for i in np.flatnonzero(np.isin(h, wanted)).tolist():
-                    p = int(pos[i])
-                    for key, a, b in slices(int(h[i]), data, p, int(first[i]), int(last[i]), bool(is_hot[i])):
-                        held.setdefault(key % parts, []).append((key, data[p : b + LENGTH], data[a:p], row_id, a, b))
-                        count += 1
-                if count >= 2 * GROUP_ROWS:
-                    yield from flush()
-                    count = 0
+                for i in np.flatnonzero(np.isin(h, np.array(wanted, np.int64))).tolist():
+                    key, p, a, b = (int(v[i]) for v in (h, pos, first, last))
+                    units = [(key, a, b)]
+                    if key in hot:
+                        own = list(slices(key, data, p, a, b, SLICE))
+                        units = [u for u in own if u[0] in coarse]
+                        units += [f for u in own if u[0] in deep for f in slices(u[0], data, p, u[1], u[2], FINE) if f[0] in fine]
+                    for own, a, b in units:
+                        held.setdefault(own % parts, []).append((own, data[p : b + LENGTH], data[a:p], doc, x, a, b))
+                    count += len(units)
+                    if count >= 2 * GROUP_ROWS:
+                        yield from flush()
+                        count = 0
         yield from flush()
 
-    return docs.select("row_id", "text", "hs", "hot").mapInArrow(run, RUN)
+    return docs.select(*ID, "text", "hs", "hot", "coarse", "deep", "fine").mapInArrow(run, RUN)
 
 
 def windows_repeat(contexts: list[bytes], lefts: list[int], spans: list[int], groups: np.ndarray, weight: np.ndarray) -> np.ndarray:
@@ -309,19 +346,55 @@ def windows_repeat(contexts: list[bytes], lefts: list[int], spans: list[int], gr
     offset = np.repeat(lefts_, spans_) - inner  # from the window's start to the anchor
     key = K.span_hash(K.prefix_hash(K.BYTE[data]), start, start + LENGTH)
     key = K.mix(key + K.mix(np.repeat(groups.astype(K.U64), spans_) * K.U64(1024) + offset.astype(K.U64)))
-    _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-    return (counts[inverse] > 1) | (np.repeat(weight, spans_) > 1)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order][1:] == key[order][:-1])
+    flags = np.repeat(weight, spans_) > 1
+    wrong = equal_pairs(b"".join(contexts), start, order[same], order[same + 1], flags)
+    for k in np.unique(key[wrong]):  # windows of one hash and different bytes
+        own: dict[bytes, list[int]] = {}
+        for i in np.flatnonzero(key == k):
+            own.setdefault(data[start[i] : start[i] + LENGTH].tobytes(), []).append(i)
+        for alike in own.values():
+            if len(alike) > 1:
+                flags[alike] = True
+    return flags
+
+
+def equal_pairs(data: bytes, start: np.ndarray, one: np.ndarray, two: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Compares the windows one[i] and two[i] byte by byte; flags both of the equal ones and returns members of the other pairs.
+
+    Pairs that follow each other in both contexts are compared as one stretch.
+    """
+    if not one.size:
+        return np.zeros(0, np.int64)
+    by = np.argsort(two, kind="stable")
+    one, two = one[by], two[by]
+    s, t = start[one], start[two]
+    head = np.flatnonzero(np.concatenate(([True], (np.diff(s) != 1) | (np.diff(t) != 1))))
+    bad = []
+    for i, j in zip(head.tolist(), [*head[1:].tolist(), s.size], strict=True):
+        a, b, n = int(s[i]), int(t[i]), j - i - 1 + LENGTH
+        if data[a : a + n] == data[b : b + n]:
+            flags[one[i:j]] = flags[two[i:j]] = True
+            continue
+        for k in range(i, j):
+            a, b = int(s[k]), int(t[k])
+            if data[a : a + LENGTH] == data[b : b + LENGTH]:
+                flags[one[k]] = flags[two[k]] = True
+            else:
+                bad.append(two[k])
+    return np.array(bad, np.int64)
 
 
 def repeats(part: pd.DataFrame) -> pd.DataFrame:
     """Merges the runs of one part; FOUND rows: repeated windows' byte ranges."""
     if len(part) and part["part"].iloc[0] < 0:
-        return pd.DataFrame(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 3) for m in part["meta"]]), columns=["row_id", "start", "stop"])
+        return pd.DataFrame(np.concatenate([np.frombuffer(m, np.int64).reshape(-1, 4) for m in part["meta"]]), columns=[*ID, "start", "stop"])
     runs, metas, lefts = [], [], []
     for no, r in enumerate(part.itertuples(index=False)):
         runs.append(Run(no, np.frombuffer(r.keys, np.int64), np.frombuffer(r.shared, np.int32), np.frombuffer(r.lengths, np.int32), r.data))
-        metas.append(np.frombuffer(r.meta, np.int64).reshape(-1, 4))
-        lefts.append((r.left, np.concatenate(([0], np.cumsum(metas[-1][:, 3])))))
+        metas.append(np.frombuffer(r.meta, np.int64).reshape(-1, 5))
+        lefts.append((r.left, np.concatenate(([0], np.cumsum(metas[-1][:, 4])))))
     out: list[np.ndarray] = []
     # Contexts of the anchors merged so far: {(suffix, left): [members]} of the present key; then resolved together.
     contexts: list[bytes] = []
@@ -334,7 +407,7 @@ def repeats(part: pd.DataFrame) -> pd.DataFrame:
     def resolve() -> None:
         nonlocal load
         if contexts:
-            weight = np.array([sum(int(metas[n][i, 2]) for n, i in m) for m in members])
+            weight = np.array([sum(int(metas[n][i, 3]) for n, i in m) for m in members])
             hit = windows_repeat(contexts, left_sizes, spans, np.array(groups), weight)
             begin = np.concatenate(([0], np.cumsum(spans)))
             for c, own in enumerate(members):
@@ -342,10 +415,10 @@ def repeats(part: pd.DataFrame) -> pd.DataFrame:
                 if flags.any():
                     edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
                     ranges = edges.reshape(-1, 2)
-                    got = np.array([metas[n][i, :2] for n, i in own])
-                    start = got[:, 1]
+                    got = np.array([metas[n][i, :3] for n, i in own])
+                    start = got[:, 2]
                     for a, b in ranges:
-                        out.append(np.stack([got[:, 0], start + a, start + b - 1 + LENGTH], axis=1))
+                        out.append(np.stack([got[:, 0], got[:, 1], start + a, start + b - 1 + LENGTH], axis=1))
         for x in (contexts, left_sizes, spans, groups, members):
             x.clear()
         load = 0
@@ -373,8 +446,8 @@ def repeats(part: pd.DataFrame) -> pd.DataFrame:
             load += spans[-1]
         members[at].append((no, i))
     resolve()
-    found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-    return pd.DataFrame(found, columns=["row_id", "start", "stop"])
+    found = np.concatenate(out) if out else np.zeros((0, 4), np.int64)
+    return pd.DataFrame(found, columns=[*ID, "start", "stop"])
 
 
 def cut_out(rows: DataFrame) -> DataFrame:
@@ -404,24 +477,42 @@ def cut_out(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
+def sliced(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
+    """wanted (ID, hs, hot) with coarse, deep and fine: the keys of slices that occur more than once."""
+    none = F.lit(None).cast("array<long>")
+    hot = wanted.where(F.size("hot") > 0).select(*ID, "hot")
+    if hot.isEmpty():
+        return wanted.select("*", none.alias("coarse"), none.alias("deep"), none.alias("fine"))
+    first = scratch.cut(slice_rows(docs.select(*ID, "text").join(hot.withColumn("deep", none), ID)), "slices")
+    counted = first.groupBy("key").agg(F.count("*").alias("n"), (F.min("whole") < F.max("whole")).alias("mixed")).where("n > 1")
+    deeper = (F.col("n") > HOT) & F.col("mixed")
+    first = first.join(counted, "key").groupBy(*ID).agg(F.collect_set(F.when(~deeper, F.col("key"))).alias("coarse"), F.collect_set(F.when(deeper, F.col("key"))).alias("deep"))
+    first = scratch.cut(first, "coarse")
+    second = scratch.cut(slice_rows(docs.select(*ID, "text").join(hot.join(first.where(F.size("deep") > 0).select(*ID, "deep"), ID), ID)), "slices")
+    again = second.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    second = second.join(again, "key").groupBy(*ID).agg(F.collect_set("key").alias("fine"))
+    return wanted.join(first, ID, "left").join(second, ID, "left")
+
+
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of (doc_id, text)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "suffix")
-    docs = docs.select("doc_id", "text").withColumn("row_id", F.xxhash64("doc_id", "text"))
+    docs = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc"), row_hash("doc_id", "text").alias("x"), "doc_id", "text")
     hs = scratch.cut(anchor_rows(docs), "anchors")
-    flat = hs.select("row_id", F.explode("hs").alias("h"))
+    flat = hs.select(*ID, F.explode("hs").alias("h"))
     twice = flat.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    wanted = flat.join(twice, "h").groupBy("row_id").agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
+    wanted = flat.join(twice, "h").groupBy(*ID).agg(F.collect_set("h").alias("hs"), F.collect_set(F.when(F.col("n") > HOT, F.col("h"))).alias("hot"))
     wanted = scratch.cut(wanted, "repeated")
     scratch.drop(hs)
-    total = wanted.agg(F.sum(F.size("hs") + (SLICE // 4) * F.size("hot"))).first()[0] or 0
+    wanted = scratch.cut(sliced(docs, wanted, scratch), "wanted")
+    total = wanted.agg(F.sum(F.size("hs") + F.coalesce(F.size("coarse"), F.lit(0)) + F.coalesce(F.size("fine"), F.lit(0)))).first()[0] or 0
     parts = max(1, -(-total // GROUP_ROWS))
-    runs = run_rows(docs.join(wanted, "row_id"), parts)
+    runs = run_rows(docs.join(wanted, ID), parts)
     found = runs.groupBy("part").applyInPandas(repeats, FOUND)
-    spans = scratch.cut(found.groupBy("row_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
+    spans = scratch.cut(found.groupBy(*ID).agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "spans")
     scratch.drop(wanted)
-    return cut_out(docs.join(spans, "row_id", "left").select("doc_id", "text", "spans"))
+    return cut_out(docs.join(spans, ID, "left").select("doc_id", "text", "spans"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,6 +109,7 @@ def brute_repeats(texts, size=400):
 @pytest.mark.parametrize("hot", [4096, 2])
 def test_suffix_dedup_equals_brute_force(docs, prose, monkeypatch, hot):
     monkeypatch.setattr(op2_suffix, "HOT", hot)
+    monkeypatch.setattr(op2_suffix, "STRETCH", 1 << 22 if hot > 2 else 300)
     r = random.Random(4)
     base = [prose(140, k) for k in range(4)]
     texts = {}
@@ -123,6 +124,62 @@ def test_suffix_dedup_equals_brute_force(docs, prose, monkeypatch, hot):
     assert out == brute_repeats({k: t.encode() for k, t in texts.items()})
 
 
+def morse(n):
+    """Two different strings of 2 ** n letters that every polynomial hash modulo a power of two takes for equal, once n is large."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2**n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_windows_with_equal_hashes_and_other_bytes_are_kept():
+    a, b = (x.encode()[: op2_suffix.LENGTH] for x in morse(10))
+    for one, two, hits in ((a, b, [False, False]), (a, a, [True, True])):
+        flags = np.zeros(2, bool)
+        wrong = op2_suffix.equal_pairs(one + two, np.array([0, len(one)]), np.array([0]), np.array([1]), flags)
+        assert flags.tolist() == hits and wrong.size == (0 if hits[0] else 1)
+    # All windows of one hash: of the four, the first and the third are equal.
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(op2_suffix.K, "span_hash", lambda p, a, b: np.zeros(a.size, np.uint64))
+        m.setattr(op2_suffix.K, "mix", lambda x: x * np.uint64(0))
+        got = op2_suffix.windows_repeat([a, b, a, b"x" * 400], [0] * 4, [1] * 4, np.arange(4), np.ones(4, np.int64))
+    assert got.tolist() == [True, False, True, False]
+
+
+def test_suffix_dedup_of_null_and_clashing_ids(docs, prose):
+    a, b, c = prose(120, 1), prose(120, 2), prose(120, 3)
+    rows = [(None, a), (None, b), (7, a), (7, c), (8, None), (9, b[:399]), (7, prose(90, 4)), (10, c[100:520] + "x")]
+    out = sorted(tuple(r) for r in ((x.n_bytes, x.n_removed, str(x.doc_id)) for x in op2_suffix.remove_repeats(docs(rows, extra=True)).collect()))
+    n = len
+    want = [(n(a), n(a), "None"), (n(b), 0, "None"), (n(a), n(a), "7"), (n(c), 420, "7"), (0, 0, "8"), (399, 0, "9"), (n(prose(90, 4)), 0, "7"), (421, 420, "10")]
+    assert out == sorted(want)
+
+
+def test_a_hot_passage_among_different_neighbours_is_spread(docs, prose, monkeypatch):
+    """Slices of hot anchors that meet at one key have one context, or contexts that differ in a byte at either end."""
+    monkeypatch.setattr(op2_suffix, "HOT", 8)
+    passage = prose(160, 1)
+    rows = [(i, prose(60, 100 + i) + " " + passage + " " + prose(60, 300 + i)) for i in range(40)]
+    met = {}
+    d = docs(rows).selectExpr("doc_id AS doc", "xxhash64(text) AS x", "text")
+    scratch = Scratch(d.sparkSession, "t")
+    hs = op2_suffix.anchor_rows(d).selectExpr("doc", "x", "explode(hs) AS h")
+    n = hs.groupBy("h").count().where("count > 1")
+    wanted = scratch.cut(hs.join(n, "h").groupBy("doc", "x").agg(op2_suffix.F.collect_set("h").alias("hs"), op2_suffix.F.expr("collect_set(case when count > 8 then h end)").alias("hot")), "w")
+    sent = d.join(op2_suffix.sliced(d, wanted, scratch), ["doc", "x"])
+    for r in sent.collect():
+        h, pos, first, last = op2_suffix.anchors(np.frombuffer(r.text.encode(), np.uint8))
+        data, coarse, deep, fine = r.text.encode(), set(r.coarse or ()), set(r.deep or ()), set(r.fine or ())
+        for k in np.flatnonzero(np.isin(h, r.hot)):
+            for u in op2_suffix.slices(int(h[k]), data, int(pos[k]), int(first[k]), int(last[k]), op2_suffix.SLICE):
+                own = [u] if u[0] in coarse else [f for f in op2_suffix.slices(u[0], data, int(pos[k]), u[1], u[2], op2_suffix.FINE) if f[0] in fine] if u[0] in deep else []
+                for key, a, b in own:
+                    met.setdefault(key, []).append(data[a : b + 400])
+    assert any(r.fine for r in sent.collect())
+    crowded = [v for v in met.values() if len(v) > 8 and len(set(v)) > 1]
+    assert all(len({x[1:-1] for x in v}) <= 2 and max(map(len, v)) <= 401 for v in crowded)
+    out = {x.doc_id: tuple(x)[1:] for x in op2_suffix.remove_repeats(docs(rows)).collect()}
+    assert out == brute_repeats({k: t.encode() for k, t in rows})
+
+
 def test_loser_tree_merges_runs_and_reports_shared_prefixes():
     r = random.Random(1)
     rows = [[(r.randint(0, 3), bytes(r.choice(b"ab") for _ in range(r.randint(0, 9)))) for _ in range(30)] for _ in range(5)]
