@@ -7,7 +7,10 @@ import itertools
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +76,43 @@ def utf8(text: str | Column) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int | None = None) -> DataFrame:
+#: Up to this many edges (16 bytes each) components are settled by one task; more are settled by all.
+LOCAL_EDGES = 2_000_000
+
+
+def _settled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(u, v) pairs of a bounded number -> (node, component), by hooking roots on smaller ones and halving paths."""
+    parts = list(batches)
+    if not sum(map(len, parts)):
+        return
+    pairs = np.concatenate([x[["u", "v"]].to_numpy() for x in parts])
+    nodes, at = np.unique(pairs, return_inverse=True)
+    u, v = at.reshape(-1, 2).T
+    parent = np.arange(nodes.size)
+    while True:
+        a, b = parent[u], parent[v]
+        if (a == b).all():
+            break
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    yield pd.DataFrame({"node": nodes, "component": nodes[parent]})
+
+
+def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(a, b) long pairs -> (node, component): the smallest node reachable, for every node of an edge.
 
     Alternating large-star and small-star steps: each is a grouped minimum (combined before the shuffle) and
     a join that adaptive execution can split when one node has very many neighbours. Rounds are written to
     the shared folder; only a count and a checksum of each reach the driver. They go on until nothing changes; a given limit raises.
+    When the edges, counted first, are at most ``local_edges``, one task does the same without the rounds.
     """
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = scratch.cut(edges, "edges"), None
+    edges = scratch.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), "edges")
+    if edges.count() <= local_edges:
+        return edges.coalesce(1).mapInPandas(_settled, "node long, component long")
+    before, whole = None, edges
+    edges = scratch.cut(edges.distinct(), "edges")
+    scratch.drop(whole)
     for done in itertools.count():
         if done == max_rounds:
             raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -5,8 +5,8 @@ pair that shares a band and is not already connected is estimated by its b-bit s
 words:
 
 1. each band bucket's members are paired with its smallest and largest member (linear in the bucket);
-2. confirmed links make components; in buckets that still hold several, ``ROUNDS`` more times every member is paired with
-   two members drawn anew, if they are of other components;
+2. confirmed links make components; while the buckets that still hold several have more than ``DENSE`` pairs a member,
+   every member is paired with two members drawn anew, if they are of other components, up to ``ROUNDS`` times;
 3. buckets that still hold several components (few) are joined on themselves across components only, in blocks of
    ``BLOCK`` members, so that a large bucket is many tasks; estimate and shared shingles are conditions of that join, which
    leaves one link for two components. It is confirmed on the words like the others; should that fail, the pair is struck
@@ -34,7 +34,7 @@ DOCUMENTS = (32, 6, 4)
 #: Paragraphs: 16 bands of 4 rows find a pair of similarity 0.8 with probability 0.9998.
 PARAGRAPHS = (16, 4, 2)
 #: Standard deviations below the threshold at which an estimate still asks for confirmation: one true link in 10^9 falls lower.
-SLACK, ROUNDS, BLOCK = 6, 2, 1024
+SLACK, ROUNDS, DENSE, BLOCK = 6, 3, 32, 1024
 
 
 def estimate(a: str, b: str, bits: int, size: int) -> Column:
@@ -98,21 +98,30 @@ def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         scratch.drop(close)
         return out
 
+    def joined(links: DataFrame) -> DataFrame:
+        """Where each component of ``links`` (a, b) goes that is not the smallest it meets."""
+        steps.append(scratch.cut(connected_components(links, scratch).where("node <> component"), "components"))
+        return steps[-1]
+
     def relabelled(members: DataFrame, links: DataFrame) -> DataFrame:
-        """Members (key, id, c) of buckets with several components after joining components by ``links`` (of c's)."""
-        moved = scratch.cut(connected_components(links, scratch), "components")
-        out = scratch.cut(members.join(moved.select(F.col("node").alias("c"), "component"), "c", "left").select("key", "id", F.coalesce("component", "c").alias("c")), "labelled")
-        scratch.drop(moved)
-        return out
+        """Members (key, id, c) after joining components by ``links`` (of c's), only those of buckets with several components, with m, the bucket's members."""
+        moved = joined(links).select(F.col("node").alias("c"), "component")
+        now = members.join(moved, "c", "left").select("key", "id", F.coalesce("component", "c").alias("c"))
+        mixed = now.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("key", "m")
+        return scratch.cut(now.join(mixed, "key"), "labelled")
 
+    steps: list[DataFrame] = []
     pairs = hits.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
     links = tried(pairs)
     members = relabelled(hits.select("key", "id", F.col("id").alias("c")), links)
     scratch.drop(hits, links)
     member = F.struct("id", "c")
     for k in range(ROUNDS):
+        n_members, n_pairs = members.agg(F.count("*"), F.sum("m")).first()
+        if (n_pairs or 0) <= 2 * DENSE * n_members:
+            break
         drawn = F.xxhash64("id", F.lit(k))
-        pivots = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.min_by(member, drawn).alias("p0"), F.max_by(member, drawn).alias("p1")).where("c0 < c1")
+        pivots = members.groupBy("key").agg(F.min_by(member, drawn).alias("p0"), F.max_by(member, drawn).alias("p1"))
         again = members.join(pivots.select("key", F.explode(F.array("p0", "p1")).alias("p")), "key").where("c <> p.c")
         links = tried(again.select(F.col("id").alias("a"), F.col("p.id").alias("b")))
         if links.isEmpty():
@@ -123,10 +132,9 @@ def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         before, members = members, relabelled(members, between)
         scratch.drop(links, before)
     refuted = None
-    while True:
-        mixed = members.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("m")).where("c0 < c1").select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-        left = members.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("blocks")).cast("int"))
-        left = scratch.cut(left, "mixed")
+    while not members.isEmpty():
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        left = members.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id", F.lit(-1)), F.col("blocks")).cast("int"))
         wanted = scratch.cut(texts.join(left.select("id").distinct(), "id"), "wanted")
         sets = scratch.cut(item_sets(wanted, n), "sets")
         full = left.join(sig, "id").join(sets, "id").join(reps.select("id", "keys"), "id")
@@ -142,16 +150,22 @@ def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
             rest = rest.join(refuted, ["a", "b"], "left_anti")
         rest = scratch.cut(rest.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("ca", "cb", "p.a", "p.b"), "rest")
         links = confirmed(rest.select("a", "b"))
-        wrong = rest.join(links, ["a", "b"], "left_anti").select("a", "b")
-        wrong = scratch.cut(wrong, "refuted")
-        if not links.isEmpty():
-            before, members = members, relabelled(members, rest.join(links, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        between = rest.join(links, ["a", "b"], "left_semi").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        wrong = scratch.cut(rest.join(links, ["a", "b"], "left_anti").select("a", "b"), "refuted")
+        done = wrong.isEmpty()
+        if done:
+            joined(between)
+        else:
+            refuted = wrong if refuted is None else scratch.cut(refuted.unionByName(wrong), "refuted")
+            before, members = members, relabelled(members, between)
             scratch.drop(before)
-        scratch.drop(left, wanted, sets, rest, links)
-        if wrong.isEmpty():
-            scratch.drop(wrong)
+        scratch.drop(wanted, sets, rest, links)
+        if done:
             break
-        refuted = wrong if refuted is None else scratch.cut(refuted.unionByName(wrong), "refuted")
-    out = scratch.cut(members.where("c <> id").select(F.col("id").alias("node"), F.col("c").alias("component")).distinct(), "near")
-    scratch.drop(members, sig, texts)
+    out = steps[0]
+    # Each step moved some components on; a node went where its component went in the steps after.
+    for moved in steps[1:]:
+        out = out.join(moved.toDF("component", "to"), "component", "left").select("node", F.coalesce("to", "component").alias("component")).unionByName(moved)
+    out = scratch.cut(out, "near")
+    scratch.drop(members, sig, texts, *steps)
     return out

@@ -489,6 +489,50 @@ def test_near_duplicates_equal_brute_force(docs, prose):
         assert (out[i].component_id, out[i].kept) == (root(i), root(i) == i)
 
 
+def test_near_duplicates_of_null_clashing_and_repeated_ids(docs, prose):
+    """Exact rows: every row is judged by its text, and named by the smallest doc_id that it reaches."""
+    a, b, c, d = (prose(60, k) for k in range(4))
+    close = lambda t: t + " more"
+    rows = [(None, a), (5, close(a)), (1, b), (1, c), (3, close(c)), (None, d), (None, d), (9, "x y"), (9, "x y"), (4, None), (None, " ")]
+    out = sorted((tuple(r) for r in op9_minhash.near_duplicates(docs(rows, extra=True), percent=85).collect()), key=str)
+    want = [(None, 56, 5, False), (5, 57, 5, True), (1, 56, 1, True), (1, 56, 1, True), (3, 57, 1, False), (None, 56, None, True), (None, 56, None, True), (9, 1, 9, True), (9, 1, 9, True), (4, 0, 4, True), (None, 0, None, True)]
+    assert out == sorted(want, key=str)
+
+
+def test_words_that_polynomial_hashes_take_for_equal_are_not_linked(docs):
+    a, b = morse(10)
+    pad = " ".join(f"w{k}" for k in range(30))
+    rows = [(1, a), (2, b), (3, f"{a} {pad}"), (4, f"{b} {pad}")]
+    out = {x.doc_id: x for x in op9_minhash.near_duplicates(docs(rows), percent=85).collect()}
+    assert all(x.kept for i, x in out.items() if i < 3) and out[3].n_shingles == 27
+    assert out[4].component_id == 3  # 26 of 28 shingles are shared: linked for what is equal, not for the words
+    assert all(x.kept for x in op9_minhash.near_duplicates(docs(rows), percent=95).collect())
+
+
+@pytest.mark.parametrize("dense", [0, 10**6])
+def test_buckets_of_several_components_lose_no_link(docs, prose, monkeypatch, dense):
+    """A chain: neighbours are linked, ends are not, all share bands; with drawn pivots and without, in blocks of three."""
+    from framewright.llm import near
+
+    monkeypatch.setattr(near, "DENSE", dense)
+    monkeypatch.setattr(near, "BLOCK", 3)
+    words = prose(100, 1).split()
+    texts = {i: " ".join(words[: 100 - 3 * i] + [f"n{i // 2}x{k}" for k in range(3 * i)]) for i in range(14)} | {50 + i: prose(80, 60 + i) for i in range(4)}
+    out = {x.doc_id: x.component_id for x in op9_minhash.near_duplicates(docs(list(texts.items())), percent=85).collect()}
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    sets, label = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for _ in texts:
+        for i in texts:
+            for j in texts:
+                if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert out == label and 2 < len(set(label.values())) < len(texts)
+
+
 def test_substring_dedup_cuts_repeated_passages_only(docs, prose):
     passage = ". ".join(prose(12, 900 + k).capitalize() for k in range(5)) + "."
     near = passage.split()
@@ -568,11 +612,12 @@ def test_near_copies_of_wrapped_paragraphs_and_lists_are_removed(docs, prose):
 
 def test_connected_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(500, 500)]
-    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc")).collect()}
-    assert all(got[k] == 0 for k in range(61)) and all(got[k] == 100 for k in range(100, 160)) and 500 not in got
+    for local in (0, 1000):  # by rounds over all tasks, and in one task
+        got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "cc"), local_edges=local).collect()}
+        assert all(got[k] == 0 for k in range(61)) and all(got[k] == 100 for k in range(100, 160)) and 500 not in got
 
 
 def test_connected_components_never_returns_unsettled_labels(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     with pytest.raises(RuntimeError):
-        connected_components(edges, Scratch(spark, "cc"), max_rounds=1)
+        connected_components(edges, Scratch(spark, "cc"), max_rounds=1, local_edges=0)
