@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +21,13 @@ from framewright.sources import con, extxyz
 
 MAX_ID = 2**63 - 1
 DEFAULT_SHARDS = 64
+#: Rows of a task that writes frames or texts; ranges of keys, so a shard and a trajectory may be written by many tasks.
+ROWS_A_TASK = 250_000
+
+
+def _ranged(rows: DataFrame, n: int) -> DataFrame:
+    """Rows by shard and key in ranges of about ROWS_A_TASK, each sorted: files hold narrow ranges of keys."""
+    return rows.repartitionByRange(max(1, -(-n // ROWS_A_TASK)), "shard", *KEYS).sortWithinPartitions("shard", *KEYS)
 
 
 class Corpus:
@@ -82,7 +88,7 @@ class Corpus:
         return self._commit(staged, lambda seq: texts.join(counts, "traj_id", "left").select("traj_id", F.coalesce("n", F.lit(0)).alias("n_frames"), "source", F.lit(seq).cast("long").alias("commit_seq")), lambda: self._guard(texts), retries)
 
     def _guard(self, texts: DataFrame) -> None:
-        there = self.trajectories.join(F.broadcast(texts.select("traj_id")), "traj_id", "left_semi").limit(10).collect()
+        there = self.trajectories.join(texts.select("traj_id"), "traj_id", "left_semi").limit(10).collect()
         if there:
             raise TrajectoryExists([r.traj_id for r in there])
 
@@ -98,21 +104,24 @@ class Corpus:
             if "ParseError" in str(e):
                 raise ParseError(str(e).split("ParseError: ")[-1].split("\n")[0]) from None
             raise
-        return {"rows": self.spark.read.parquet(f"{self.store.path}/{part}"), "part": part}
+        rows = self.spark.read.parquet(f"{self.store.path}/{part}")
+        return {"rows": rows, "part": part, "n": rows.count()}
+
+    def _with_representatives(self, base: dict, rows: DataFrame, seq: int) -> DataFrame:
+        """New frames of commit ``seq``: a row represents its content if ``base`` lacks the hash and it is the first of this commit."""
+        new = rows.drop("blob").withColumn("commit_seq", F.lit(seq).cast("long"))
+        first = new.groupBy("content_hash").agg(F.min(F.struct(*KEYS)).alias("f"))
+        known = self.store.table(base, "frames", FRAMES).where("is_rep").select("content_hash")
+        fresh = first.join(known, "content_hash", "left_anti").select("f.*", F.lit(True).alias("r"))
+        return new.join(fresh, KEYS, "left").withColumn("is_rep", F.coalesce("r", F.lit(False))).drop("r").select([f.name for f in FRAMES])
 
     def _commit(self, staged: dict, meta, guard, retries: int) -> dict[str, int]:
-        rows = staged["rows"]
-        blobs = self.store.stage(rows.select(*KEYS, "blob", "shard").repartition("shard").sortWithinPartitions(*KEYS), "blobs", "shard")
+        rows, n = staged["rows"], staged["n"]
+        blobs = self.store.stage(_ranged(rows.select(*KEYS, "blob", "shard"), n), "blobs", "shard")
         for _ in range(retries):
             base = self.store.manifest()
             seq = base["version"] + 1
-            new = rows.drop("blob").withColumn("commit_seq", F.lit(seq).cast("long"))
-            # A new row represents its content if the corpus lacks the hash and it is the first of this commit.
-            first = new.groupBy("content_hash").agg(F.min(F.struct(*KEYS)).alias("f"))
-            known = self.store.table(base, "frames", FRAMES).where("is_rep").select("content_hash")
-            fresh = first.join(known, "content_hash", "left_anti").select("f.*", F.lit(True).alias("r"))
-            new = new.join(fresh, KEYS, "left").withColumn("is_rep", F.coalesce("r", F.lit(False))).drop("r")
-            frames = self.store.stage(new.select([f.name for f in FRAMES]).repartition("shard").sortWithinPartitions(*KEYS), "frames", "shard")
+            frames = self.store.stage(_ranged(self._with_representatives(base, rows, seq), n), "frames", "shard")
             trajectories = self.store.stage(meta(seq), "traj_meta")
             tables = base["tables"]
             try:
@@ -120,7 +129,7 @@ class Corpus:
             except ConcurrentCommit:
                 guard()
                 continue
-            return {"trajectories": self.store.table(self.store.manifest(seq), "traj_meta", TRAJ).where(f"commit_seq = {seq}").count(), "frames": new.count()}
+            return {"trajectories": self.store.table(self.store.manifest(seq), "traj_meta", TRAJ).where(f"commit_seq = {seq}").count(), "frames": n}
         raise ConcurrentCommit("too many concurrent commits")
 
     def append_text(self, traj_id: int, text: str, source: str = "") -> int:
@@ -172,7 +181,7 @@ class Corpus:
 
     def ingest_directory(self, folder: str, start_id: int = 1) -> list[tuple[int, int, str]]:
         """(traj_id, n_frames, path) of the .con and .convel files of a folder, in path order, ids counted from start_id."""
-        paths = sorted(os.path.join(folder, p) for p in os.listdir(folder) if p.endswith((".con", ".convel")))
+        paths = [f"{folder.rstrip('/')}/{p}" for p in self.store.listing(folder) if p.endswith((".con", ".convel"))]
         if not paths:
             return []
         files = [(start_id + k, p) for k, p in enumerate(paths)]
@@ -189,20 +198,14 @@ class Corpus:
         text = self.spark.createDataFrame([(traj_id, "".join(map(con.render, frames)))], "traj_id long, text string")
         shift = self.spark.createDataFrame([(traj_id, old.n_frames)], "traj_id long, shift long")
         staged = self._stage(con.parse_rows(text), shift)
-        added = staged["rows"].count()
-        total = old.n_frames + added
+        total = old.n_frames + staged["n"]
         others = self.store.table(base, "traj_meta", TRAJ).where(F.col("traj_id") != traj_id)
         seq = base["version"] + 1
         meta = others.unionByName(self.spark.createDataFrame([(traj_id, total, old.source, seq)], TRAJ))
-        rows = staged["rows"].drop("blob").withColumn("commit_seq", F.lit(seq).cast("long"))
-        first = rows.groupBy("content_hash").agg(F.min(F.struct(*KEYS)).alias("f"))
-        known = self.store.table(base, "frames", FRAMES).where("is_rep").select("content_hash")
-        fresh = first.join(known, "content_hash", "left_anti").select("f.*", F.lit(True).alias("r"))
-        rows = rows.join(fresh, KEYS, "left").withColumn("is_rep", F.coalesce("r", F.lit(False))).drop("r")
-        t = base["tables"]
+        rows, n, t = staged["rows"], staged["n"], base["tables"]
         new = {
-            "frames": [*t["frames"], self.store.stage(rows.select([f.name for f in FRAMES]), "frames", "shard")],
-            "blobs": [*t["blobs"], self.store.stage(staged["rows"].select(*KEYS, "blob", "shard"), "blobs", "shard")],
+            "frames": [*t["frames"], self.store.stage(_ranged(self._with_representatives(base, rows, seq), n), "frames", "shard")],
+            "blobs": [*t["blobs"], self.store.stage(_ranged(rows.select(*KEYS, "blob", "shard"), n), "blobs", "shard")],
             "traj_meta": [self.store.stage(meta, "traj_meta")],
         }
         self.store.publish(base, new)
@@ -276,8 +279,10 @@ class Corpus:
         part = self.blobs.where((F.col("traj_id") == traj_id) & (F.col("shard") == traj_id % self.n_shards) & (F.col("frame_idx") < n))
         row = extract.touch(part).first()
         if n and (row is None or row.n_frames < n):
-            have = {r.frame_idx for r in part.select("frame_idx").collect()}
-            raise MissingFrame((traj_id, min(set(range(n)) - have)))
+            have = part.select("frame_idx")
+            # The first gap is 0 or the successor of a frame that is there.
+            after = have.select((F.col("frame_idx") + 1).alias("frame_idx")).unionByName(self.spark.createDataFrame([(0,)], "frame_idx long"))
+            raise MissingFrame((traj_id, after.join(have, "frame_idx", "left_anti").agg(F.min("frame_idx")).first()[0]))
         return (row.n_bytes, row.checksum) if n else (0, 0)
 
     # -- numeric arrays and the cooked tier
@@ -356,10 +361,25 @@ class Corpus:
         rows = project_parsed(self._parsed(), self.hash_mode).drop("blob").join(old, KEYS, "left")
         rows = rows.withColumn("commit_seq", F.coalesce("commit_seq", F.lit(0))).withColumn("shard", F.pmod("traj_id", F.lit(self.n_shards)).cast("int"))
         rows = self.spark.read.parquet(f"{self.store.path}/{self.store.stage(rows, '_projected')}")
+        n = rows.count()
         rows = dedup.mark_representatives(rows, "key").select([f.name for f in FRAMES])
-        part = self.store.stage(rows.repartition("shard").sortWithinPartitions(*KEYS), "frames", "shard")
+        part = self.store.stage(_ranged(rows, n), "frames", "shard")
         self.store.publish(base, {"frames": [part]})
-        return rows.count()
+        return n
+
+    def compact(self) -> dict[str, int]:
+        """Rewrites the parts of all commits as one part a table; {table: parts before}. Contents stay, older manifests keep their parts."""
+        base, new, before = self.store.manifest(), {}, {}
+        for name, schema in (("frames", FRAMES), ("blobs", BLOBS), ("traj_meta", TRAJ), ("frames_soa", SOA)):
+            before[name] = len(base["tables"][name])
+            if before[name] < 2:
+                continue
+            rows = self.store.table(base, name, schema)
+            sharded = "shard" in rows.columns
+            new[name] = [self.store.stage(_ranged(rows, rows.count()) if sharded else rows, name, "shard" if sharded else None)]
+        if new:
+            self.store.publish(base, new)
+        return before
 
     # -- export
 
@@ -371,9 +391,10 @@ class Corpus:
         return extxyz.write_stream((r.text for r in self._rendered(texts, energy_key).orderBy("pos").toLocalIterator()), path)
 
     def export_extxyz_parts(self, keys: DataFrame, folder: str, energy_key: str | None = "energy") -> None:
-        """The same as a folder of part files in order, written in parallel."""
+        """The same as a folder of part files in order, written in parallel; MissingFrame for the first key that isn't there."""
         texts = extract.texts_of(self.blobs, self._keys(keys))
-        out = self._rendered(texts.where("blob is not null"), energy_key).orderBy("pos")
+        extract.first_missing(texts)
+        out = self._rendered(texts, energy_key).orderBy("pos")
         out.select(F.regexp_replace("text", "\n$", "").alias("value")).write.text(folder)
 
     @staticmethod

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from framewright.errors import MissingFrame
 from framewright.functions import soa
@@ -27,17 +30,23 @@ def first_missing(texts: DataFrame) -> None:
         raise MissingFrame((row.traj_id, row.frame_idx))
 
 
-def byte_checksum(blob: Column) -> Column:
-    """Sum of byte value times 1-based place, modulo 2^64 as a signed long (a 4 GB text would be needed to wrap)."""
-    data = F.encode(blob, "utf-8")
-    size = F.length(data)
-    return F.aggregate(F.sequence(F.lit(1), size), F.lit(0).cast("long"), lambda s, i: s + F.conv(F.hex(F.substring(data, i, F.lit(1))), 16, 10).cast("long") * i)
+@F.pandas_udf(LongType())
+def byte_checksum(blob: pd.Series) -> pd.Series:
+    """Sum of byte value times 1-based place, modulo 2^64 as a signed long; 0 for an empty or null text. One product a text."""
+    out = np.zeros(len(blob), np.int64)
+    for k, text in enumerate(blob):
+        if text:
+            data = np.frombuffer(text.encode(), np.uint8)
+            for at in range(0, data.size, 1 << 20):
+                part = data[at : at + (1 << 20)].astype(np.int64)
+                out[k] += part @ np.arange(at + 1, at + 1 + part.size)
+    return pd.Series(out)
 
 
 def touch(blobs: DataFrame) -> DataFrame:
     """traj_id -> n_frames, n_bytes, checksum."""
     size = F.octet_length("blob").cast("long")
-    return blobs.groupBy("traj_id").agg(F.count("*").alias("n_frames"), F.sum(size).alias("n_bytes"), F.sum(F.when(size > 0, byte_checksum(F.col("blob"))).otherwise(0)).alias("checksum"))
+    return blobs.groupBy("traj_id").agg(F.count("*").alias("n_frames"), F.sum(size).alias("n_bytes"), F.sum(byte_checksum("blob")).alias("checksum"))
 
 
 def positions_of(atoms: Column) -> Column:

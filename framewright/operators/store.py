@@ -8,6 +8,7 @@ All paths go through Hadoop's file systems.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,22 +42,24 @@ class Store:
         return self._fs.exists(self._Path(f"{self.path}/{name}"))
 
     def create(self, name: str, text: str) -> None:
-        """Writes a new file; fails if it is there."""
-        temp = self._Path(f"{self.path}/_staged-{uuid.uuid4().hex}")
+        """Publishes a new file with all its content at once; ConcurrentCommit if the name is taken.
+
+        The content is written under a name of its own, then given the name by a step that cannot replace a file: a hard
+        link on a local file system, elsewhere a rename, which distributed file systems refuse onto an existing name.
+        """
+        temp, target = self._Path(f"{self.path}/_staged-{uuid.uuid4().hex}"), self._Path(f"{self.path}/{name}")
         out = self._fs.create(temp, False)
         out.write(bytearray(text.encode()))
         out.close()
-        target = self._Path(f"{self.path}/{name}")
         try:
-            # A rename onto an existing file is refused by distributed file systems; creating the name first settles it locally too.
-            self._fs.create(target, False).close()
-        except Exception:
-            self._fs.delete(temp, False)
+            if self._fs.getUri().getScheme() == "file":
+                os.link(temp.toUri().getPath(), target.toUri().getPath())
+            elif self._fs.exists(target) or not self._fs.rename(temp, target):
+                raise FileExistsError(name)
+        except FileExistsError:
             raise ConcurrentCommit(name) from None
-        self._fs.delete(target, False)
-        if not self._fs.rename(temp, target):
+        finally:
             self._fs.delete(temp, False)
-            raise ConcurrentCommit(name)
 
     def manifest(self, version: int | None = None) -> dict:
         versions = self.versions()
@@ -68,7 +71,7 @@ class Store:
         return json.loads(self.read_text(f"_commits/{version:010d}.json"))
 
     def stage(self, df: DataFrame, name: str, partition: str | None = None) -> str:
-        part = f"{name}/{uuid.uuid4().hex}"
+        part = f"{name}/part={uuid.uuid4().hex}"
         writer = df.write
         if partition:
             writer = writer.partitionBy(partition)
@@ -88,11 +91,15 @@ class Store:
         parts = manifest["tables"].get(name, [])
         if not parts:
             return self.spark.createDataFrame([], schema)
-        frames = [self.spark.read.schema(schema).parquet(f"{self.path}/{p}") for p in parts]
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
+        # One scan of all parts, however many commits there are.
+        found = self.spark.read.schema(schema).option("basePath", f"{self.path}/{name}").parquet(*(f"{self.path}/{p}" for p in parts))
+        return found.select(*schema.fieldNames())
+
+    def listing(self, folder: str) -> list[str]:
+        """Names of the files of a folder of any file system."""
+        path = self._Path(folder)
+        found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
+        return sorted(f.getPath().getName() for f in found if f.isFile())
 
     def delete(self) -> None:
         self._fs.delete(self._Path(self.path), True)

@@ -5,15 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from framewright.functions import soa
 from framewright.functions.hashing import content_hash
 from framewright.functions.scalars import formula_of
 from framewright.operators import extract
+from framewright.plans import stored
 from framewright.plans.dedup import representatives
 from framewright.plans.select import Select, select_keys
 from framewright.schema import KEYS
@@ -90,7 +89,7 @@ screen("fmax_range", S.fmax_range(None, 0.5), "fmax BETWEEN 0 AND 0.5", "fmax")
 screen("mass_range", S.mass_range(50.0, 100.0), "mass BETWEEN 50 AND 100", "mass")
 screen("volume_range", S.volume_range(1100.0, 1300.0), "volume BETWEEN 1100 AND 1300", "volume")
 screen("pbc_exact", S.pbc(True, True, False), "pbc_mask = 3", "pbc_mask")
-screen("time_range", S.time_range(100.0, 400.0), "\"time\" BETWEEN 100 AND 400", "time")
+screen("time_range", S.time_range(1500.0, 2000.0), "\"time\" BETWEEN 1500 AND 2000", "time")
 screen("timestep_range", S.timestep_range(0.1, 0.3), "timestep BETWEEN 0.1 AND 0.3", "timestep")
 screen("frame_index_range", S.frame_index_range(10.0, 20.0), "frame_index BETWEEN 10 AND 20", "frame_index")
 screen("neb_bead_range", S.neb_bead_range(2.0, 3.0), "neb_bead BETWEEN 2 AND 3", "neb_bead")
@@ -186,18 +185,9 @@ def exact_hash_other_traj(spark, sf_dir):
     return docs.where("is_rep").join(F.broadcast(_twice(docs)), "content_hash").where("traj_id = last").select(*KEYS, "content_hash")
 
 
-@query("batch_texts", f"WITH {DOCS}, q AS (SELECT traj_id, frame_idx, row_number() OVER (ORDER BY frame_idx DESC, traj_id) - 1 AS pos FROM d WHERE frame_idx < 3) SELECT pos, traj_id, frame_idx, md5(text) AS blob_md5 FROM q JOIN d USING (traj_id, frame_idx)")
+@query("batch_texts", f"WITH {DOCS}, q AS (SELECT traj_id, frame_idx, row_number() OVER (ORDER BY traj_id DESC, frame_idx DESC) - 1 AS pos FROM d) SELECT pos, traj_id, frame_idx, md5(text) AS blob_md5 FROM q JOIN d USING (traj_id, frame_idx)")
 def batch_texts(spark, sf_dir):
-    from pyspark.sql import Window
-
-    docs = A.documents(spark, sf_dir)
-    keys = docs.where("frame_idx < 3").select(*KEYS).withColumn("pos", F.row_number().over(Window.orderBy(F.desc("frame_idx"), "traj_id")).cast("long") - 1)
-    return extract.texts_of(docs, keys).select("pos", *KEYS, F.md5(F.col("blob").cast("binary")).alias("blob_md5"))
-
-
-@query("batch_texts_all", f"WITH {DOCS}, q AS (SELECT traj_id, frame_idx, row_number() OVER (ORDER BY traj_id DESC, frame_idx DESC) - 1 AS pos FROM d) SELECT pos, traj_id, frame_idx, md5(text) AS blob_md5 FROM q JOIN d USING (traj_id, frame_idx)")
-def batch_texts_all(spark, sf_dir):
-    """batch_texts for every key, last first. Only the offsets, one row a trajectory, are numbered by a window over all."""
+    """The texts of every key, last first. Only the offsets, one row a trajectory, are numbered by a window over all."""
     from pyspark.sql import Window
 
     docs = A.documents(spark, sf_dir)
@@ -213,14 +203,8 @@ def touch_bytes(spark, sf_dir):
     return A.documents(spark, sf_dir).groupBy("traj_id").agg(F.count("*").alias("n_frames"), F.sum(size).alias("n_bytes"))
 
 
-@query("touch_checksum", f"WITH {DOCS} SELECT traj_id, count(*) AS n_frames, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(list_sum(list_transform(range(1, strlen(text) + 1), lambda i: i * CAST(concat('0x', substr(hex(encode(text)), 2 * i - 1, 2)) AS BIGINT)))) AS BIGINT) AS checksum FROM d WHERE strlen(text) < 200 GROUP BY 1")
+@query("touch_checksum", f"WITH {DOCS} SELECT traj_id, count(*) AS n_frames, CAST(sum(strlen(text)) AS BIGINT) AS n_bytes, CAST(sum(coalesce(list_sum(list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x, i: i * CAST(concat('0x', x) AS BIGINT))), 0)) AS BIGINT) AS checksum FROM d GROUP BY 1")
 def touch_checksum(spark, sf_dir):
-    return extract.touch(A.documents(spark, sf_dir).where("octet_length(blob) < 200"))
-
-
-@query("touch_checksum_all")
-def touch_checksum_all(spark, sf_dir):
-    """touch_checksum over every text, whatever its size; a test states it by brute force, as SQL by bytes is too slow."""
     return extract.touch(A.documents(spark, sf_dir))
 
 
@@ -272,32 +256,16 @@ def split_membership(spark, sf_dir):
     return heads.groupBy("traj_id", "shard").agg(F.count("*").alias("n_frames"))
 
 
-@query("extend_frame_idx", f"WITH {HEADS}, n AS (SELECT traj_id, count(*) AS c FROM h GROUP BY 1) SELECT traj_id, frame_idx + c AS frame_idx, k AS orderkey FROM h JOIN n USING (traj_id) WHERE k % 10 = 0")
+@query("extend_frame_idx", f"WITH {HEADS}, n AS (SELECT traj_id, count(*) AS c FROM h GROUP BY 1) SELECT traj_id, frame_idx + c AS frame_idx, k AS orderkey FROM h JOIN n USING (traj_id)")
 def extend_frame_idx(spark, sf_dir):
-    """Appending every tenth frame again: new indexes continue after each trajectory's last."""
-    heads = A.headers(spark, sf_dir)
-    total = heads.groupBy("traj_id").agg(F.count("*").alias("c"))
-    return heads.where("orderkey % 10 = 0").join(total, "traj_id").select("traj_id", (F.col("frame_idx") + F.col("c")).alias("frame_idx"), "orderkey")
-
-
-@query("traj_exists_guard", "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS traj_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)")
-def traj_exists_guard(spark, sf_dir):
-    """New ids that are stored already."""
-    new = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 7 = 0").select(F.col("c_custkey").cast("long").alias("traj_id"))
-    there = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("traj_id")).distinct()
-    return there.join(new, "traj_id", "left_semi")
-
-
-@query("extend_frame_idx_all", f"WITH {HEADS}, n AS (SELECT traj_id, count(*) AS c FROM h GROUP BY 1) SELECT traj_id, frame_idx + c AS frame_idx, k AS orderkey FROM h JOIN n USING (traj_id)")
-def extend_frame_idx_all(spark, sf_dir):
     """Appending every frame again: new indexes continue after each trajectory's last."""
     heads = A.headers(spark, sf_dir)
     total = heads.groupBy("traj_id").agg(F.count("*").alias("c"))
     return heads.join(total, "traj_id").select("traj_id", (F.col("frame_idx") + F.col("c")).alias("frame_idx"), "orderkey")
 
 
-@query("traj_exists_guard_all", "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS traj_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
-def traj_exists_guard_all(spark, sf_dir):
+@query("traj_exists_guard", "SELECT DISTINCT CAST(o_custkey AS BIGINT) AS traj_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
+def traj_exists_guard(spark, sf_dir):
     """New ids that are stored already, of all customers."""
     new = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").cast("long").alias("traj_id"))
     there = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("long").alias("traj_id")).distinct()
@@ -306,13 +274,32 @@ def traj_exists_guard_all(spark, sf_dir):
 
 @query("extxyz_lines", f"WITH {HEADS}, {ATOMS} SELECT traj_id, frame_idx, printf('%-2s %16.10f %16.10f', symbol, l_quantity, l_discount * 100) AS line FROM a WHERE symbol IS NOT NULL")
 def extxyz_lines(spark, sf_dir):
-    """Atom lines with exact digits, in Arrow batches."""
+    return A.atoms(spark, sf_dir).select(*KEYS, F.format_string("%-2s %16.10f %16.10f", "symbol", "position.x", "position.z").alias("line"))
+
+
+@query("extxyz_frames", f"""WITH {HEADS}, {ATOMS} SELECT traj_id, frame_idx, concat(count(*), chr(10), 'Lattice="10.0 0 0 0 10.0 0 0 0 ', 10 + any_value(k) % 7, '.0" Properties=species:S:1:pos:R:3', CASE WHEN any_value(status) <> 'O' THEN ':forces:R:3' ELSE '' END, ' pbc="T T T"', CASE WHEN any_value(energy) IS NOT NULL THEN concat(' energy=', any_value(energy)) ELSE '' END, chr(10),
+  string_agg(printf('%-2s %16.10f %16.10f %16.10f', symbol, l_quantity, l_extendedprice / 1000, l_discount * 100) || CASE WHEN status <> 'O' THEN printf(' %16.10f %16.10f %16.10f', l_discount, l_tax, l_quantity / 50) ELSE '' END, chr(10) ORDER BY l_linenumber, symbol, l_quantity, l_extendedprice, l_discount), chr(10)) AS frame FROM a WHERE symbol IS NOT NULL GROUP BY traj_id, frame_idx""")
+def extxyz_frames(spark, sf_dir):
+    """Whole frames as the exporter writes them: number of atoms, lattice, properties, energy, positions and forces."""
+    from framewright.sources.extxyz import extxyz
+
+    heads = A.headers(spark, sf_dir)
+    atom = F.struct("l_linenumber", "symbol", "position.x", "position.y", "position.z", "force")
+    per = A.atoms(spark, sf_dir, heads).groupBy(*KEYS).agg(F.array_sort(F.collect_list(atom)).alias("atoms"))
+    boxl = F.array(F.lit(10.0), F.lit(10.0), F.col("volume") / 100)
+    own = heads.select(*KEYS, boxl.alias("boxl"), F.to_json(F.struct("energy")).alias("metadata"))
+    return per.join(own, KEYS).select(*KEYS, extxyz()("boxl", "atoms", "metadata").alias("frame"))
 
-    @F.pandas_udf(StringType())
-    def line(symbol: pd.Series, x: pd.Series, z: pd.Series) -> pd.Series:
-        return pd.Series(["%-2s %16.10f %16.10f" % t for t in zip(symbol, x, z, strict=True)])
 
-    return A.atoms(spark, sf_dir).select(*KEYS, line("symbol", F.col("position.x"), F.col("position.z")).alias("line"))
+@query("key_codec", f"WITH {HEADS} SELECT traj_id, frame_idx, printf('%016x%08x', traj_id, frame_idx) AS key, true AS same, true AS strict FROM h")
+def key_codec(spark, sf_dir):
+    """Keys as bytes and back; a byte too few or too many is no key."""
+    from framewright.functions import keys as C
+
+    data = C.key_bytes(F.col("traj_id"), F.col("frame_idx"))
+    coded = A.headers(spark, sf_dir).select(*KEYS, data.alias("data"))
+    wrong = C.key_of(F.expr("substring(data, 2)")).isNull() & C.key_of(F.expr("concat(data, unhex('00'))")).isNull()
+    return coded.select(*KEYS, F.lower(F.hex("data")).alias("key"), (C.key_of(F.col("data")) == F.struct(*KEYS)).alias("same"), wrong.alias("strict"))
 
 
 @query("reindex_idempotent", f"WITH {DOCS} SELECT traj_id, frame_idx, content_hash, is_rep FROM r")
@@ -328,7 +315,37 @@ def xxh3_hash(spark, sf_dir):
     return A.documents(spark, sf_dir).select(*KEYS, content_hash(F.col("blob")).alias("content_hash"))
 
 
-@query("rcso_roundtrip")
+# Texts and their xxh3-128 digests (seed 0), bytes in little-endian order.
+_DIGESTS = {
+    "": "7f498d4624c30160d8984701d306aa99",
+    "a": "1f4e961eb632c6e63468f15a70af6fa9",
+    "abc": "50392f89945faf7885613a73b65ab006",
+    "frame": "003afe2aa2806f787723713c2ac043b0",
+    "0123456789abcdef0123456789abcdef": "ff5d82a778635ffe725ca012554d9ccc",
+}
+# Positions and forces of two frames and their blocks.
+_BLOCKS = {
+    ((1.0, 2.0, -0.5),): "5243534f01000000010000000000000000000000" + "00000000" + "000000000000f03f" + "0000000000000040" + "000000000000e0bf",
+    ((1.0, 0.0, 0.0), (0.0, 0.0, 1.0)): "5243534f01000000020000000000000000000000" + "00000000" + "000000000000f03f" + "00" * 32 + "000000000000f03f",
+}
+
+
+@query("xxh3_known", "SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{h}')" for t, h in _DIGESTS.items()) + ") AS v(blob, content_hash)")
+def xxh3_known(spark, sf_dir):
+    """Known answers of the content hash."""
+    return spark.createDataFrame([(t,) for t in _DIGESTS], "blob string").select("blob", content_hash(F.col("blob")).alias("content_hash"))
+
+
+@query("rcso_known", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{h}', {len(p)})" for k, (p, h) in enumerate(_BLOCKS.items())) + ") AS v(k, rcso, n)")
+def rcso_known(spark, sf_dir):
+    """Known answers of the block format, written and read."""
+    rows = spark.createDataFrame([(k, [{"x": x, "y": y, "z": z} for x, y, z in p]) for k, p in enumerate(_BLOCKS)], "k int, positions array<struct<x:double,y:double,z:double>>")
+    none = F.lit(None).cast("array<struct<x:double,y:double,z:double>>")
+    coded = rows.select("k", soa.rcso_encode("positions", none, none).alias("data"))
+    return coded.select("k", F.lower(F.hex("data")).alias("rcso"), F.size(soa.rcso_decode("data")["positions"]).alias("n"))
+
+
+@query("rcso_roundtrip", "SELECT CAST(label AS BIGINT) AS traj_id, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS BIGINT) AS frame_idx, true AS positions_equal, true AS forces_equal, true AS no_velocities FROM embeddings WHERE label IS NOT NULL AND len(embedding) >= 63")
 def rcso_roundtrip(spark, sf_dir):
     v = A.vectors(spark, sf_dir)
     none = F.lit(None).cast("array<struct<x:double,y:double,z:double>>")
@@ -336,7 +353,7 @@ def rcso_roundtrip(spark, sf_dir):
     return back.select(*KEYS, (F.col("c.positions") == F.col("positions")).alias("positions_equal"), (F.col("c.forces") == F.col("positions")).alias("forces_equal"), F.col("c.velocities").isNull().alias("no_velocities"))
 
 
-@query("con_parse")
+@query("con_parse", f"WITH {FRAMES} SELECT traj_id * 1000000 + frame_idx AS traj_id, natoms, formula, round(mass, 6) AS mass, CAST(1000 AS DOUBLE) AS volume FROM f WHERE natoms > 0")
 def con_parse(spark, sf_dir):
     """Frames rendered from order lines as text, parsed back and projected."""
     from framewright.operators.project import project_parsed
@@ -360,4 +377,8 @@ def con_parse(spark, sf_dir):
         F.lit("\n"),
     )
     parsed = con.parse_rows(per.select((F.col("traj_id") * 1_000_000 + F.col("frame_idx")).alias("traj_id"), text.alias("text")))
-    return project_parsed(parsed).select("traj_id", "natoms", "formula", F.round("mass", 6).alias("mass"), "volume")
+    return project_parsed(parsed).select("traj_id", "natoms", "formula", F.round("mass", 6).alias("mass"), F.round("volume", 6).alias("volume"))
+
+
+for _name, (_run, _sql) in stored.QUERIES.items():
+    query(_name, f"WITH {FRAMES}, {stored.OWN} {_sql}")(_run)

@@ -8,6 +8,7 @@ delimiter, so one file is read in order; files are read in parallel. Labels and
 
 from __future__ import annotations
 
+import itertools
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from framewright.errors import ParseError
+from framewright.errors import CorpusError, ParseError
 from framewright.schema import PARSED
 
 HEADER_LINES = 9
@@ -88,7 +89,7 @@ def parse(text: str) -> Iterator[Frame]:
     """The frames of a text in order; each keeps its exact span as ``blob``. Raises ParseError."""
     src = _Lines(text)
     while src.at < len(src.lines):
-        if not "".join(src.lines[src.at :]).strip():
+        if all(not x.strip() for x in itertools.islice(src.lines, src.at, None)):
             return  # only blanks are left
         yield _frame(src)
 
@@ -190,22 +191,45 @@ def parse_rows(texts: DataFrame) -> DataFrame:
 
 
 def _batch(rows, schema, pa):
+    """Arrow columns of parsed rows; atoms are laid out column by column, without a dictionary each."""
     columns = []
     for k, f in enumerate(schema):
         values = [r[k] for r in rows]
         if f.name == "atoms":
-            names = [x.name for x in f.type.value_type]
-            vec = lambda v: None if v is None else dict(zip("xyz", v, strict=True))
-            values = [[dict(zip(names, [*a[:7], vec(a[7]), vec(a[8])], strict=True)) for a in atoms] for atoms in values]
-        columns.append(pa.array(values, f.type))
+            kind = f.type.value_type
+            flat = list(zip(*itertools.chain.from_iterable(values), strict=True)) or [()] * kind.num_fields
+            parts = [_vectors(flat[c], x.type, pa) if c > 6 else pa.array(flat[c], x.type) for c, x in enumerate(kind)]
+            ends = pa.array([0, *itertools.accumulate(map(len, values))], pa.int32())
+            columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, fields=list(kind)), type=f.type))
+        else:
+            columns.append(pa.array(values, f.type))
     return pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
+def _vectors(values, kind, pa):
+    """Structs of x, y, z from tuples or None."""
+    there = [v or (None, None, None) for v in values]
+    parts = [pa.array([v[c] for v in there], pa.float64()) for c in range(3)]
+    return pa.StructArray.from_arrays(parts, fields=list(kind), mask=pa.array([v is None for v in values], pa.bool_()))
+
+
 def read_files(spark: SparkSession, files: list[tuple[int, str]]) -> DataFrame:
-    """(traj_id, text, source) of files, each read whole by an executor."""
-    ids = spark.createDataFrame(files, "traj_id long, path string")
-    text = spark.read.text([p for _, p in files], wholetext=True).select(F.col("value").alias("text"), F.regexp_replace(F.input_file_name(), "^file:/+", "/").alias("path"))
-    return ids.join(text.withColumn("path", F.url_decode("path")), "path", "left").select("traj_id", F.coalesce("text", F.lit("")).alias("text"), F.col("path").alias("source"))
+    """(traj_id, text, source) of files, each read whole by an executor; the paths are those of any file system that Spark reads.
+
+    A missing file fails here, and a file whose bytes do not come back under its name fails the query: neither is an empty text.
+    """
+    path, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    named = []
+    for traj_id, name in files:
+        fs = path(name).getFileSystem(conf)
+        if not fs.exists(path(name)):
+            raise CorpusError(f"no file {name}")
+        named.append((traj_id, name, fs.makeQualified(path(name)).toString(), fs.getFileStatus(path(name)).getLen()))
+    ids = spark.createDataFrame(named, "traj_id long, source string, path string, size long")
+    data = spark.read.format("binaryFile").load([n for _, _, n, _ in named]).select("path", "content")
+    # Spark has no row for a file without bytes.
+    text = F.when(F.col("size") == 0, "").when(F.col("content").isNull(), F.raise_error(F.concat(F.lit("not read: "), F.col("source")))).otherwise(F.decode("content", "utf-8"))
+    return ids.join(data, "path", "left").select("traj_id", text.cast("string").alias("text"), "source")
 
 
 class _Part(InputPartition):

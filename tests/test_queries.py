@@ -29,10 +29,7 @@ def test_query_equals_its_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_query_without_sql_runs(spark, name):
-    rows = catalog.QUERIES[name](spark, SF).collect()
-    assert rows
-    if name == "rcso_roundtrip":
-        assert all(r.positions_equal and r.forces_equal and r.no_velocities for r in rows)
+    assert catalog.QUERIES[name](spark, SF).collect()
 
 
 def test_whole_table_queries_leave_nothing_out(spark):
@@ -43,7 +40,7 @@ def test_whole_table_queries_leave_nothing_out(spark):
         row = want.setdefault(int("".join(c for c in r.source if c.isdigit())), [0, 0, 0])
         for k, x in enumerate((1, len(data), sum(i * b for i, b in enumerate(data, 1)))):
             row[k] += x
-    got = {r.traj_id: [r.n_frames, r.n_bytes, r.checksum] for r in catalog.QUERIES["touch_checksum_all"](spark, SF).collect()}
+    got = {r.traj_id: [r.n_frames, r.n_bytes, r.checksum] for r in catalog.QUERIES["touch_checksum"](spark, SF).collect()}
     assert got == want
-    assert catalog.QUERIES["batch_texts_all"](spark, SF).count() == len(docs)
-    assert catalog.QUERIES["extend_frame_idx_all"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
+    assert catalog.QUERIES["batch_texts"](spark, SF).count() == len(docs)
+    assert catalog.QUERIES["extend_frame_idx"](spark, SF).count() == spark.read.parquet(f"{SF}/orders.parquet").count()
