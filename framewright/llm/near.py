@@ -4,9 +4,10 @@ Items enter as class representatives (equal sets are one class), so exact copies
 pair that shares a band and is not already connected is estimated by its b-bit signature and confirmed on its
 words:
 
-1. each band bucket's members are paired with its smallest and largest member (linear in the bucket);
+1. each band bucket's members are paired with its centre, the member whose buckets hold the most others (linear in the
+   bucket; of many copies with changes it is the one closest to their common text, so its links are the most);
 2. confirmed links make components; while the buckets that still hold several have more than ``DENSE`` pairs a member,
-   every member is paired with two members drawn anew, if they are of other components, up to ``ROUNDS`` times;
+   every member is paired with a member drawn anew, if that is of another component, up to ``ROUNDS`` times;
 3. buckets that still hold several components (few) are joined on themselves across components only, in blocks of
    ``BLOCK`` members, so that a large bucket is many tasks; estimate and shared shingles are conditions of that join, which
    leaves one link for two components. It is confirmed on the words like the others; should that fail, the pair is struck
@@ -80,8 +81,9 @@ def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     hit = p + (1 - p) * 2.0**-bits
     slack = p - SLACK * (hit * (1 - hit) / size) ** 0.5 / (1 - 2.0**-bits)
     rows = reps.select("id", F.explode("keys").alias("key"))
-    spans = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    hits = scratch.cut(rows.join(spans, "key"), "buckets")  # members of the buckets with more than one
+    crowds = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    hits = scratch.cut(rows.join(crowds, "key"), "buckets")  # members of the buckets with more than one
+    ranked = hits.join(hits.groupBy("id").agg(F.struct(F.sum("m").alias("near"), (-F.col("id")).alias("low")).alias("rank")), "id")
     sig = scratch.cut(reps.select("id", "sig").join(hits.select("id").distinct(), "id"), "signatures")
     texts = scratch.cut(texts_of(sig.select("id")), "texts")
 
@@ -111,8 +113,8 @@ def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         return scratch.cut(now.join(mixed, "key"), "labelled")
 
     steps: list[DataFrame] = []
-    pairs = hits.select(F.explode(F.array(F.struct(F.col("lo").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("hi").alias("b")))).alias("p")).select("p.*")
-    links = tried(pairs)
+    centres = ranked.groupBy("key").agg((-F.max("rank")["low"]).alias("centre"))
+    links = tried(hits.join(centres, "key").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     members = relabelled(hits.select("key", "id", F.col("id").alias("c")), links)
     scratch.drop(hits, links)
     member = F.struct("id", "c")
@@ -121,8 +123,8 @@ def near_components(reps: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
         if (n_pairs or 0) <= 2 * DENSE * n_members:
             break
         drawn = F.xxhash64("id", F.lit(k))
-        pivots = members.groupBy("key").agg(F.min_by(member, drawn).alias("p0"), F.max_by(member, drawn).alias("p1"))
-        again = members.join(pivots.select("key", F.explode(F.array("p0", "p1")).alias("p")), "key").where("c <> p.c")
+        pivots = members.groupBy("key").agg(F.min_by(member, drawn).alias("p"))
+        again = members.join(pivots, "key").where("c <> p.c")
         links = tried(again.select(F.col("id").alias("a"), F.col("p.id").alias("b")))
         if links.isEmpty():
             scratch.drop(links)
