@@ -55,6 +55,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     equal[1:] = h[1:] == h[:-1]
     pairs = h.copy()
     pairs[1:] = K.mix(h[1:] * K.U64(31) + h[:-1])
+    # A text's first word has none before it.
+    opening = first[:-1][count > 0]
+    equal[opening], pairs[opening] = 0, h[opening]
     # Per word: does it hold an upper case letter that is not its first, a symbol, a shout.
     starts, ends = K.word_bounds(data, offsets)
     marks = np.zeros((4, h.size), np.int8)

@@ -16,6 +16,7 @@ TEXT_OPS = {
     "op2": op2_suffix.remove_repeats,
     "op3": lambda d: op3_language.identify(d, op3_language.learn(d)),
     "op4": op4_mixing.mix,
+    "op5": lambda d: op5_quality.classify(d, op5_quality.fit(d, d.sparkSession.createDataFrame([(1, 1), (2, 0), (0, 1), (5, None)], "doc_id long, quality int"))),
     "op6": lambda d: op6_bpe.encode_documents(d, op6_bpe.vocabulary()),
     "op7": lambda d: op7_license.scan(d, op7_license.registry(d.sparkSession)),
     "op9": op9_minhash.near_duplicates,
@@ -283,6 +284,33 @@ def test_quality_model_learns_held_out_labels(docs, prose, spark):
     assert {x.doc_id for x in op5_quality.keep_good(d, op5_quality.fit(d, labels)).collect()} == {i for i, x in out.items() if x.predicted}
 
 
+def test_quality_scores_equal_brute_force(docs, prose, spark):
+    """Features of a text alone, bins by bisection and one table entry each, added in plain Python, give the batch's scores."""
+    import bisect
+    import math
+
+    r = random.Random(7)
+    texts = [r.choice([prose(r.randint(1, 90), i), (prose(3, i) + " ") * 9, prose(20, i).upper() + "!!", "#$% " * r.randint(1, 30), "", "é" * 40]) for i in range(150)]
+    labels = spark.createDataFrame([(i, int(t[:5].islower() and t.count(t[:5]) < 3)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    d = docs(list(enumerate(texts)))
+    model = op5_quality.fit(d, labels)
+    assert len(model.tables) == len(op5_quality.FEATURES) and len(model.pair_tables) == op5_quality.PAIRS
+    got = {x.doc_id: x for x in op5_quality.classify(d, model).collect()}
+    for i, t in enumerate(texts):
+        data = np.frombuffer(t.encode(), np.uint8)
+        x = op5_quality.features(data, np.array([0, data.size]))[0]
+        bins = [bisect.bisect_right(list(c), v) for c, v in zip(model.cuts, x, strict=True)]
+        total = math.log(model.prior / (1 - model.prior)) + sum(float(table[b]) for table, b in zip(model.tables, bins, strict=True))
+        for (j, k), table in zip(model.pairs, model.pair_tables, strict=True):
+            total += float(table[model.coarse[j][bins[j]], model.coarse[k][bins[k]]])
+        score = 1 / (1 + math.exp(-total))
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.3)
+        words = t.split()
+        assert x[1] == pytest.approx(math.log1p(len(words))) and x[0] == pytest.approx(math.log1p(len(t.encode())))
+        assert x[9] == pytest.approx(len({w.lower() for w in words}) / len(words) if words else 0)
+        assert x[10] == pytest.approx(sum(a.lower() == b.lower() for a, b in zip(words, words[1:], strict=False)) / max(1, len(words)))
+
+
 def test_quality_without_labels(docs, spark):
     d = docs([(1, "a b")])
     model = op5_quality.fit(d, spark.createDataFrame([], "doc_id long, quality int"))
@@ -579,6 +607,56 @@ def test_substring_dedup_sees_passages_across_sentences_and_without_punctuation(
     assert out == want and len(want[2]) == 27 and len(want[7]) == 1
 
 
+def test_substring_dedup_equals_brute_force(docs, prose):
+    """All pairs of paragraphs by their sets of shingles, and all windows, in plain Python; the words that stay are the same."""
+    r = random.Random(13)
+    base = [prose(60, k).split() for k in range(6)]
+
+    def paragraph(k):
+        words = list(base[k % 6]) if r.random() < 0.6 else prose(r.randint(10, 70), 100 + k).split()
+        for _ in range(r.choice([0, 1, 1, 2, 4])):
+            words[r.randrange(len(words))] = prose(1, r.randint(0, 10**6))
+        return " ".join(words)
+
+    texts = {i: "\n\n".join(paragraph(r.randint(0, 500)) for _ in range(r.randint(1, 3))) for i in range(40)}
+    own = [(i, k, p.split()) for i, t in texts.items() for k, p in enumerate(t.split("\n\n"))]
+    long = [x for x in own if len(x[2]) >= 30]
+    sets = [{tuple(w.lower() for w in ws[k : k + 5]) for k in range(len(ws) - 4)} for _, _, ws in long]
+    label = list(range(len(long)))
+    for _ in range(6):
+        for a in range(len(long)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    drop = {long[k][:2] for k, first in enumerate(label) if first != k}
+    seen, want = set(), {}
+    for i, t in texts.items():
+        words, gone = t.split(), set()
+        at = 0
+        for k, p in enumerate(t.split("\n\n")):
+            n = len(p.split())
+            gone.update(range(at, at + n) if (i, k) in drop else ())
+            at += n
+        for k in range(len(words) - 29):
+            w = tuple(words[k : k + 30])
+            if w in seen:
+                gone.update(range(k, k + 30))
+            seen.add(w)
+        want[i] = [w for k, w in enumerate(words) if k not in gone]
+    out = {x.doc_id: x for x in op10_substring.remove_repeats(docs(list(texts.items()))).collect()}
+    assert {i: x.text.split() for i, x in out.items()} == want
+    assert sum(map(len, want.values())) < sum(len(t.split()) for t in texts.values()) and len(drop) > 10
+    assert all(x.kept_sha256 == hashlib.sha256(x.text.encode()).hexdigest() and x.n_bytes - x.n_removed == len(x.text.encode()) for x in out.values())
+
+
+def test_passages_with_other_words_of_equal_polynomials_stay(docs, prose):
+    a, b = morse(10)
+    rows = [(1, f"{a} " * 40), (2, f"{b} " * 40), (3, "A b\n" + prose(40, 1) + ".\n"), (4, prose(40, 1) + ".\nend\n"), (5, "x\n" + prose(40, 1) + ".")]
+    out = {x.doc_id: x.text for x in op10_substring.remove_repeats(docs(rows)).collect()}
+    assert out[1].split() == [a] and out[2].split() == [b]
+    assert out[3] == rows[2][1] and out[4] == "end\n" and out[5] == "x"
+
+
 def test_removed_passages_leave_line_ends(docs, prose):
     a = prose(40, 1)
     b, c, d = prose(25, 2), prose(25, 3), prose(25, 4)

@@ -38,3 +38,24 @@ def test_rows_without_a_key_of_their_own_stay_in_every_stage(spark, docs, prose)
     assert sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == sorted(want, key=str)
     mixed = P.mixing(spark, cut, SF).collect()
     assert sorted(((r.doc_id, r.text) for r in mixed), key=str) == sorted(want[1:], key=str)
+
+
+def test_every_stage_takes_odd_rows_and_an_empty_table(spark, docs, prose):
+    """Nulls in every column, empty and very long texts, ties, repeated rows, clashing columns; then no rows at all."""
+    long = prose(20000, 9)
+    odd = [(None, None, None, None), (None, "", "en", "s"), (1, prose(50, 1), None, "s"), (1, prose(50, 1), None, "s"), (1, prose(50, 2), "de", None), (2, long, "en", "t"), (3, "one", "en", "t"), (4, None, "en", "t")]
+    rows = docs(odd, extra=True).withColumn("row_", P.F.lit(1)).withColumn("taken", P.F.lit(2))
+    key = lambda r: (r.doc_id, r.text)
+    kept = [key(r) for r in P.quality(spark, rows, SF).collect()]
+    assert set(kept) <= {x[:2] for x in odd}
+    near = P.near_duplicates(spark, rows, SF)
+    assert near.columns == P.COLUMNS
+    assert sorted(map(key, near.collect()), key=str) == sorted((x[:2] for k, x in enumerate(odd) if k != 3), key=str)
+    cut = {key(r): r.n_chars for r in P.substrings(spark, rows, SF).collect()}
+    assert set(cut) == {x[:2] for x in odd} and all(n == (len(t) if t is not None else n) for (_, t), n in cut.items())
+    mixed = [key(r) for r in P.mixing(spark, rows, SF).collect()]
+    assert set(mixed) <= {(i, t) for i, t, *_ in odd if t} | {(i, t) for i, t in mixed if any(x[0] == i and x[1] and x[1].startswith(t) for x in odd)}
+    tokens = P.tokens(spark, rows, SF).collect()
+    assert len(tokens) == len(odd) and all((r.n_tokens == 0) == (not r.ids) for r in tokens)
+    none = docs([])
+    assert all(stage(spark, none, SF).count() == 0 for _, stage in P.STAGES)
