@@ -11,7 +11,8 @@
 
 Cases: a null text has size 0 and takes 0; a null source is a source of its own, ordered last; ties of quotients go
 to the earlier source (shard), ties of documents to the smaller doc_id; repeated rows of a doc_id are documents each,
-told apart by their order; an empty table gives an empty result. No document exceeds ``REPEATS`` times its size.
+told apart by their order; an empty table gives an empty result. No document exceeds ``REPEATS`` times its size, so of a
+source at its cap a shard whose quota was rounded up leaves up to a block (16 words) untaken.
 """
 
 from __future__ import annotations
