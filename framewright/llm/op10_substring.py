@@ -174,7 +174,7 @@ def windows(docs: DataFrame) -> DataFrame:
 def repeated_windows(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(ID, seen): packed runs of the windows of each document that are not the first of their words."""
     all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "ac2", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.ac2", "a.at")
-    again = all_.groupBy("ah").agg(F.count("*").alias("n"), (F.min(F.struct("ac", "ac2")) < F.max(F.struct("ac", "ac2"))).alias("mixed")).where("n > 1").select("ah", "mixed")
+    again = all_.groupBy("ah").agg(F.count("*").alias("n"), ((F.min("ac") < F.max("ac")) | (F.min("ac2") < F.max("ac2"))).alias("mixed")).where("n > 1").select("ah", "mixed")
     met = scratch.cut(all_.join(again, "ah").select(*ID, "ac", "ac2", "at", "mixed"), "met")
     classes = met.groupBy("ac", "ac2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f"), F.max("mixed").alias("mixed"))
     classes = scratch.cut(classes, "classes")
