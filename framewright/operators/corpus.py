@@ -129,6 +129,7 @@ class Corpus:
             except ConcurrentCommit:
                 guard()
                 continue
+            self.store.remove(staged["part"])
             return {"trajectories": self.store.table(self.store.manifest(seq), "traj_meta", TRAJ).where(f"commit_seq = {seq}").count(), "frames": n}
         raise ConcurrentCommit("too many concurrent commits")
 
@@ -209,6 +210,7 @@ class Corpus:
             "traj_meta": [self.store.stage(meta, "traj_meta")],
         }
         self.store.publish(base, new)
+        self.store.remove(staged["part"])
         return total
 
     # -- queries
@@ -360,11 +362,13 @@ class Corpus:
         old = self.store.table(base, "frames", FRAMES).select(*KEYS, "commit_seq")
         rows = project_parsed(self._parsed(), self.hash_mode).drop("blob").join(old, KEYS, "left")
         rows = rows.withColumn("commit_seq", F.coalesce("commit_seq", F.lit(0))).withColumn("shard", F.pmod("traj_id", F.lit(self.n_shards)).cast("int"))
-        rows = self.spark.read.parquet(f"{self.store.path}/{self.store.stage(rows, '_projected')}")
+        projected = self.store.stage(rows, "_projected")
+        rows = self.spark.read.parquet(f"{self.store.path}/{projected}")
         n = rows.count()
         rows = dedup.mark_representatives(rows, "key").select([f.name for f in FRAMES])
         part = self.store.stage(_ranged(rows, n), "frames", "shard")
         self.store.publish(base, {"frames": [part]})
+        self.store.remove(projected)
         return n
 
     def compact(self) -> dict[str, int]:

@@ -101,5 +101,9 @@ class Store:
         found = path.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(path)
         return sorted(f.getPath().getName() for f in found if f.isFile())
 
+    def remove(self, part: str) -> None:
+        """Deletes a staged part that no manifest names."""
+        self._fs.delete(self._Path(f"{self.path}/{part}"), True)
+
     def delete(self) -> None:
         self._fs.delete(self._Path(self.path), True)
