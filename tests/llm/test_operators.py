@@ -561,6 +561,35 @@ def test_buckets_of_several_components_lose_no_link(docs, prose, monkeypatch, de
     assert out == label and 2 < len(set(label.values())) < len(texts)
 
 
+def test_heavy_buckets_meet_at_rare_items_and_lose_no_link(spark, docs, prose, monkeypatch):
+    """Texts that share a passage but are not alike make no pairs; copies with changes of one text are linked as by brute force."""
+    from framewright.llm import near
+
+    passage = prose(60, 1)
+    texts = {i: f"{passage} {prose(30, 100 + i)}" for i in range(60)}
+    texts[60] = texts[7] + " more"
+    members = spark.createDataFrame([(i, i) for i in texts], "id long, c long")
+    sets = near.item_sets(spark.createDataFrame(list(texts.items()), "id long, text string"), 5)
+    assert {r.id for r in near.rare_keys(members, sets, 80).collect()} == {7, 60}
+    monkeypatch.setattr(near, "HEAVY", 2)
+    monkeypatch.setattr(near, "BLOCK", 3)
+    r, words = random.Random(2), prose(100, 2).split()
+    for i in range(100, 140):
+        own = list(words)
+        for k in r.sample(range(100), r.randint(0, 5)):
+            own[k] = f"n{i}x{k}"
+        texts[i] = " ".join(own)
+    out = {x.doc_id: x.component_id for x in op9_minhash.near_duplicates(docs(list(texts.items())), percent=80).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    label = {i: i for i in texts}
+    for _ in range(6):
+        for i in texts:
+            for j in texts:
+                if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    label[i] = label[j] = min(label[i], label[j])
+    assert out == label and label[60] == 7 and len({label[i] for i in range(100, 140)}) > 1
+
+
 def test_substring_dedup_cuts_repeated_passages_only(docs, prose):
     passage = ". ".join(prose(12, 900 + k).capitalize() for k in range(5)) + "."
     near = passage.split()
