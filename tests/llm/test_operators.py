@@ -590,6 +590,38 @@ def test_heavy_buckets_meet_at_rare_items_and_lose_no_link(spark, docs, prose, m
     assert out == label and label[60] == 7 and len({label[i] for i in range(100, 140)}) > 1
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_changed_copies_of_one_text_meet_where_they_differ_from_it(spark, prose, percent):
+    """Every link between components shares a key; the pairs that do are a few a member, not its square."""
+    from framewright.llm import near
+
+    r, words = random.Random(percent), prose(120, 9).split()
+    texts = {0: " ".join(words)}
+    for i in range(1, 150):
+        own = list(texts[r.randint(1, i - 1)].split()) if i > 100 else list(words)
+        for k in r.sample(range(len(own)), r.randint(0, 2) if i > 100 else r.randint(0, 9)):
+            own[k] = r.choice(["", f"n{i}x{k}", f"n{i}x{k} more", own[k - 1]])
+        texts[i] = " ".join(x for x in own if x)
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    brute = {i: shingles(t.split()) for i, t in texts.items()}
+    linked = lambda i, j: 100 * len(brute[i] & brute[j]) >= percent * len(brute[i] | brute[j])
+    label = {i: 0 if linked(0, i) else i for i in texts}
+    scratch = Scratch(spark, "centred")
+    sets = scratch.cut(near.item_sets(spark.createDataFrame(list(texts.items()), "id long, text string"), 5))
+    members = spark.createDataFrame([(1, i, label[i], len(texts)) for i in texts], "key long, id long, c long, m long")
+    rows, direct, unlike, _ = near.centred(members, sets, percent, scratch)
+    assert not direct.count() and not unlike.where("c = 0").count()
+    at = {}
+    for x in rows.collect():
+        at.setdefault(x.key, []).append(x)
+    can = lambda x, y: x.c != y.c and (x.far or y.far) and (not (x.far and y.far) or (x.strong and y.strong))
+    met = {(x.id, y.id) for g in at.values() for x in g for y in g if x.id < y.id and can(x, y)}
+    links = {(i, j) for i in texts for j in texts if i < j and label[i] != label[j] and linked(i, j)}
+    apart = {x.id for x in unlike.collect()}
+    assert links and {x for x in links if not apart.issuperset(x)} <= met
+    assert len(met) < len(links) + 5 * len(texts) < sum(label[i] != label[j] for i in texts for j in texts if i < j) / 4
+
+
 def test_substring_dedup_cuts_repeated_passages_only(docs, prose):
     passage = ". ".join(prose(12, 900 + k).capitalize() for k in range(5)) + "."
     near = passage.split()
