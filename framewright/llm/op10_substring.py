@@ -143,10 +143,10 @@ def hashed(docs: DataFrame) -> DataFrame:
                     count.append(len(own))
                 keys, sigs = np.zeros((len(lines), sketch.bands), np.int64), np.zeros((len(lines), -(-sketch.a.size * sketch.bits // 64)), np.int64)
                 for i, j, bytes_, offsets in K.chunks(pa.array(lines, pa.binary())):
-                    keys[i:j], sigs[i:j] = sketch(*K.distinct(*K.shingles(*K.words(bytes_, offsets))))
+                    keys[i:j], sigs[i:j] = sketch(*K.shingles(*K.words(bytes_, offsets)))  # repeated shingles change no minimum
                 ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
                 nested = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(digests, pa.binary()), K.matrix_array(keys), K.matrix_array(sigs))]
-                found = [anchors(*K.words(bytes_, offsets), K.words(bytes_, offsets, SEED)[0]) for _, _, bytes_, offsets in K.chunks(part.column(2))]
+                found = [anchors(one, first, two) for _, _, bytes_, offsets in K.chunks(part.column(2)) for (one, two), first in [K.words_by(bytes_, offsets, (0, SEED))]]
                 ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[4]) for x in found]))))
                 served = [K.list_array(np.concatenate([x[k] for x in found]), ends) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *nested, *served], [x.split()[0] for x in HASHED.split(", ")])
@@ -164,7 +164,7 @@ def windows(docs: DataFrame) -> DataFrame:
                 first, count = runs // SPAN, runs % SPAN
                 start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
                 for _, _, data, offsets in K.chunks(batch.column(2).slice(at, 1)):
-                    both = [pa.array(K.tree(K.words(data, offsets, seed)[0], start, np.full(start.size, MIN_WORDS)).view(np.int64)) for seed in (0, SEED)]
+                    both = [pa.array(K.tree(hashes, start, np.full(start.size, MIN_WORDS)).view(np.int64)) for hashes in K.words_by(data, offsets, (0, SEED))[0]]
                     same = [pa.array(np.full(start.size, batch.column(k)[at].as_py(), np.int64)) for k in (0, 1)]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(start * SPAN + 1), *both], [*ID, "at", "w", "w2"])
 

@@ -760,3 +760,20 @@ def test_connected_components_never_returns_unsettled_labels(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
     with pytest.raises(RuntimeError):
         connected_components(edges, Scratch(spark, "cc"), max_rounds=1, local_edges=0)
+
+
+def test_words_are_read_once_for_both_hashes_and_repeated_shingles_change_no_minimum(prose):
+    import pyarrow as pa
+
+    from framewright.llm import textkit as K
+
+    texts = [prose(40, 1), "", "A b\tC", "x" * 600 + " Y", " ".join(["one two three four five six"] * 9)]
+    ((_, _, data, offsets),) = K.chunks(pa.array([t.encode() for t in texts], pa.binary()))
+    both, first = K.words_by(data, offsets, (0, op10_substring.SEED))
+    for seed, found in zip((0, op10_substring.SEED), both, strict=True):
+        alone, at = K.words(data, offsets, seed)
+        assert (found == alone).all() and (first == at).all()
+    assert (both[0] != both[1]).all()
+    repeated, sketch = K.shingles(both[0], first), K.MinHash(16, 4, 2)
+    assert repeated[0].size > K.distinct(*repeated)[0].size
+    assert all((a == b).all() for a, b in zip(sketch(*repeated), sketch(*K.distinct(*repeated)), strict=True))
