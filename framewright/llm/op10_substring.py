@@ -14,7 +14,8 @@ Two kinds of pieces are compared; words are what white space parts:
 
 Every word of a removed paragraph or of a window that was seen before goes; so nothing shorter than ``MIN_WORDS`` words
 does, and common short lines stay. "First" is the smallest (doc_id, position). Equal pieces are one class before bands or
-pairs are made, so a passage that a third of all documents share costs one counted row for each occurrence and no pairs.
+pairs are made, and a document's occurrences of a class are one row, so a passage that a third of all documents share, or
+one document many times, costs one counted row for each document and no pairs.
 
 Cases: a null text stays null and counts as empty; an empty text is unchanged; repeats inside one document count;
 rows with the same doc_id and text are judged as one document, other rows of a doc_id each on their own (ordered by a
@@ -88,6 +89,15 @@ def anchors(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[
     return grams[at].view(np.int64), one, two, (start - first[text]) * SPAN + count, np.searchsorted(text, np.arange(first.size))
 
 
+def gathered(ah: np.ndarray, ac: np.ndarray, ac2: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of texts by position -> one row for each class of a text: ah, ac, ac2, all at in order, where a class's at begin, where a text's classes begin."""
+    text = np.repeat(np.arange(ends.size - 1), np.diff(ends))
+    order = np.lexsort((ac2, ac, ah, text))  # stable, so a class's first occurrence stays in front
+    by = [x[order] for x in (text, ah, ac, ac2)]
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, order.size), bool), np.any([x[1:] != x[:-1] for x in by], axis=0))))
+    return *(x[head] for x in by[1:]), at[order], np.append(head, order.size), np.searchsorted(by[0][head], np.arange(ends.size))
+
+
 def paragraphs(data: bytes) -> list[tuple[int, int]]:
     """(start, end) of the paragraphs of at least MIN_WORDS words, in order of their starts.
 
@@ -123,11 +133,11 @@ def paragraphs(data: bytes) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-HASHED = "doc long, x long, ps array<binary>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, ac2 array<long>, at array<long>"
+HASHED = "doc long, x long, ps array<binary>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, ac2 array<long>, at array<array<long>>"
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """HASHED rows: of the paragraphs of MIN_WORDS words digest, band keys and signature; of the word windows the anchors."""
+    """HASHED rows: of the paragraphs of MIN_WORDS words digest, band keys and signature; of the word windows the anchors, one for each class of a document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = K.MinHash(*PARAGRAPHS)
@@ -148,7 +158,8 @@ def hashed(docs: DataFrame) -> DataFrame:
                 nested = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(digests, pa.binary()), K.matrix_array(keys), K.matrix_array(sigs))]
                 found = [anchors(one, first, two) for _, _, bytes_, offsets in K.chunks(part.column(2)) for (one, two), first in [K.words_by(bytes_, offsets, (0, SEED))]]
                 ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[4]) for x in found]))))
-                served = [K.list_array(np.concatenate([x[k] for x in found]), ends) for k in range(4)]
+                *classes, places, begin, ends = gathered(*(np.concatenate([x[k] for x in found]) for k in range(4)), ends)
+                served = [*(K.list_array(x, ends) for x in classes), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), K.list_array(places, begin))]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *nested, *served], [x.split()[0] for x in HASHED.split(", ")])
 
     return docs.select(*ID, "text").mapInArrow(run, HASHED)
@@ -174,16 +185,16 @@ def windows(docs: DataFrame) -> DataFrame:
 def repeated_windows(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(ID, seen): packed runs of the windows of each document that are not the first of their words."""
     all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "ac2", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.ac2", "a.at")
-    again = all_.groupBy("ah").agg(F.count("*").alias("n"), ((F.min("ac") < F.max("ac")) | (F.min("ac2") < F.max("ac2"))).alias("mixed")).where("n > 1").select("ah", "mixed")
+    again = all_.groupBy("ah").agg(F.sum(F.size("at")).alias("n"), ((F.min("ac") < F.max("ac")) | (F.min("ac2") < F.max("ac2"))).alias("mixed")).where("n > 1").select("ah", "mixed")
     met = scratch.cut(all_.join(again, "ah").select(*ID, "ac", "ac2", "at", "mixed"), "met")
-    classes = met.groupBy("ac", "ac2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f"), F.max("mixed").alias("mixed"))
+    classes = met.groupBy("ac", "ac2").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct(*ID, F.col("at")[0].alias("at"))).alias("f"), F.max("mixed").alias("mixed"))
     classes = scratch.cut(classes, "classes")
-    same = met.join(classes.where("n > 1").select("ac", "ac2", "f"), ["ac", "ac2"]).where("struct(doc, x, at) <> f").select(*ID, "at")
+    same = met.join(classes.where("n > 1").select("ac", "ac2", "f"), ["ac", "ac2"]).select(*ID, F.expr("if(doc = f.doc and x = f.x, slice(at, 2, size(at)), at)").alias("at")).where("size(at) > 0")
     runs = scratch.cut(classes.where("mixed").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_list("f.at").alias("runs")), "runs")
     own = scratch.cut(windows(docs.join(runs, ID).dropDuplicates(ID)), "windows")
     first = own.groupBy("w", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f")).where("n > 1").select("w", "w2", "f")
-    edges = own.join(first, ["w", "w2"]).where("struct(doc, x, at) <> f").select(*ID, "at")
-    out = scratch.cut(same.unionByName(edges).groupBy(*ID).agg(F.collect_set("at").alias("seen")), "seen")
+    edges = own.join(first, ["w", "w2"]).where("struct(doc, x, at) <> f").select(*ID, F.array("at").alias("at"))
+    out = scratch.cut(same.unionByName(edges).groupBy(*ID).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("seen")), "seen")
     scratch.drop(met, classes, runs, own)
     return out
 

@@ -710,6 +710,21 @@ def test_substring_dedup_equals_brute_force(docs, prose):
     assert all(x.kept_sha256 == hashlib.sha256(x.text.encode()).hexdigest() and x.n_bytes - x.n_removed == len(x.text.encode()) for x in out.values())
 
 
+def test_a_class_repeated_inside_documents_is_one_row_of_each(docs, prose, monkeypatch):
+    real, rows = Scratch.cut, {}
+
+    def cut(self, df, name="t"):
+        out = real(self, df, name)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(Scratch, "cut", cut)
+    texts = {i: f"{prose(40, i)} " + "tick tock " * 300 + prose(35, 20 + i // 2) + " tick" * 200 for i in range(6)}
+    out = {x.doc_id: x.text.split() for x in op10_substring.remove_repeats(docs(list(texts.items()))).collect()}
+    assert out == brute_windows(texts) and len(out[5]) < 150
+    assert 0 < rows["met"] < 20 * len(texts)
+
+
 def test_passages_with_other_words_of_equal_polynomials_stay(docs, prose):
     a, b = morse(10)
     rows = [(1, f"{a} " * 40), (2, f"{b} " * 40), (3, "A b\n" + prose(40, 1) + ".\n"), (4, prose(40, 1) + ".\nend\n"), (5, "x\n" + prose(40, 1) + ".")]
