@@ -10,7 +10,7 @@ Two kinds of pieces are compared; words are what white space parts:
   ends do not matter. A window is served by its anchor, the ``GRAM`` words of smallest hash in it (about one word in
   eleven is an anchor). Only anchors that occur again matter; equal anchors with equal served words are one class, of
   which all but the first are repeats; where an anchor has several classes, the windows of their firsts are compared.
-  Classes and windows are known by 128 bits.
+  Classes, windows and equal paragraphs are known by 128 bits.
 
 Every word of a removed paragraph or of a window that was seen before goes; so nothing shorter than ``MIN_WORDS`` words
 does, and common short lines stay. "First" is the smallest (doc_id, position). Equal pieces are one class before bands or
@@ -44,12 +44,6 @@ GRAM = 10
 SPAN = 32
 #: What a document is, without nulls: its doc_id, and a hash of its text (and of whether the doc_id is null).
 ID = ["doc", "x"]
-_FOLD = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-
-
-def word_digest(piece: bytes) -> bytes:
-    """128 bits of the words of a piece (A-Z folded, white space of any length alike)."""
-    return hashlib.blake2b(b" ".join(piece.translate(_FOLD).split()), digest_size=16).digest()
 
 
 def identified(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -57,7 +51,7 @@ def identified(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return docs.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), row_hash("doc_id", "text").alias("x"), "doc_id", "text", *carry)
 
 
-#: The second hash of words: a class or a window is known by 128 bits.
+#: The second hash of words: a class, a window or a paragraph is known by 128 bits.
 SEED = 0x5EED
 
 
@@ -98,12 +92,13 @@ def gathered(ah: np.ndarray, ac: np.ndarray, ac2: np.ndarray, at: np.ndarray, en
     return *(x[head] for x in by[1:]), at[order], np.append(head, order.size), np.searchsorted(by[0][head], np.arange(ends.size))
 
 
-def paragraphs(data: bytes) -> list[tuple[int, int]]:
+def paragraphs(data: bytes, counts: list[int] | None = None) -> list[tuple[int, int]]:
     """(start, end) of the paragraphs of at least MIN_WORDS words, in order of their starts.
 
     Every line of so many words is one; so are, between blank lines, the lines of a wrapped block together (each line
     but the last is too full for the next line's first word, and one ends inside a sentence), and otherwise every run
     of at least two shorter lines. A line of a wrapped block is inside of it; no other paragraphs overlap.
+    ``counts``: the words of each line, where they are known.
     """
     out, start, block = [], 0, []
 
@@ -122,8 +117,8 @@ def paragraphs(data: bytes) -> list[tuple[int, int]]:
         out.extend((at, at + len(x)) for at, x, n in block if n >= MIN_WORDS)
         block.clear()
 
-    for line in data.split(b"\n"):
-        n = len(line.split())
+    lines = data.split(b"\n")
+    for line, n in zip(lines, counts or [len(x.split()) for x in lines], strict=True):
         if n:
             block.append((start, line.rstrip(), n))
         else:
@@ -133,6 +128,19 @@ def paragraphs(data: bytes) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def paragraph_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Texts, where their words start and each text's first word -> first word and word after the last of each paragraph, and the number of each text's paragraphs."""
+    breaks = np.flatnonzero(data == 10) + 1
+    after, of = np.searchsorted(starts, breaks), np.searchsorted(breaks, offsets, "right")
+    whole, spans, count = data.tobytes(), [], []
+    for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+        counts = np.diff(np.concatenate((first[k : k + 1], after[of[k] : of[k + 1]], first[k + 1 : k + 2]))).tolist()
+        own = paragraphs(whole[a:b], counts) if first[k + 1] - first[k] >= MIN_WORDS else []
+        spans += [(a + i, a + j) for i, j in own]
+        count.append(len(own))
+    return np.searchsorted(starts, np.array(spans, np.int64).reshape(-1, 2)), count
+
+
 HASHED = "doc long, x long, ps array<binary>, keys array<array<long>>, sigs array<array<long>>, ah array<long>, ac array<long>, ac2 array<long>, at array<array<long>>"
 
 
@@ -144,19 +152,24 @@ def hashed(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
-                lines, digests, count = [], [], []
-                for text in part.column(2):
-                    data = (text.as_py() or "").encode()
-                    own = [data[a:b] for a, b in paragraphs(data)]
-                    lines += own
-                    digests += map(word_digest, own)
-                    count.append(len(own))
-                keys, sigs = np.zeros((len(lines), sketch.bands), np.int64), np.zeros((len(lines), -(-sketch.a.size * sketch.bits // 64)), np.int64)
-                for i, j, bytes_, offsets in K.chunks(pa.array(lines, pa.binary())):
-                    keys[i:j], sigs[i:j] = sketch(*K.shingles(*K.words(bytes_, offsets)))  # repeated shingles change no minimum
+                found, lines, count = [], [], []
+                for _, _, bytes_, offsets in K.chunks(part.column(2)):
+                    starts, ends = K.word_bounds(bytes_, offsets)
+                    one, two = K.hashes_at(bytes_, starts, ends, (0, SEED))
+                    first = np.searchsorted(starts, offsets)
+                    found.append(anchors(one, first, two))
+                    own, n = paragraph_words(bytes_, offsets, starts, first)
+                    # A paragraph's words are some of the text's, already hashed.
+                    size = own[:, 1] - own[:, 0]
+                    begin = np.concatenate(([0], np.cumsum(size)))
+                    each = np.repeat(own[:, 0] - begin[:-1], size) + np.arange(begin[-1])
+                    digests = np.stack([K.sequence(h[each], begin) for h in (one, two)], 1)
+                    lines.append((digests, *sketch(*K.shingles(one[each], begin))))  # repeated shingles change no minimum
+                    count += n
+                digests, keys, sigs = (np.concatenate([x[k] for x in lines]) for k in range(3))
+                ps = pa.Array.from_buffers(pa.binary(), len(digests), [None, pa.py_buffer((np.arange(len(digests) + 1) * 16).astype(np.int32)), pa.py_buffer(digests.tobytes())])
                 ends = pa.array(np.concatenate(([0], np.cumsum(count))).astype(np.int32))
-                nested = [pa.ListArray.from_arrays(ends, x) for x in (pa.array(digests, pa.binary()), K.matrix_array(keys), K.matrix_array(sigs))]
-                found = [anchors(one, first, two) for _, _, bytes_, offsets in K.chunks(part.column(2)) for (one, two), first in [K.words_by(bytes_, offsets, (0, SEED))]]
+                nested = [pa.ListArray.from_arrays(ends, x) for x in (ps, K.matrix_array(keys), K.matrix_array(sigs))]
                 ends = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(x[4]) for x in found]))))
                 *classes, places, begin, ends = gathered(*(np.concatenate([x[k] for x in found]) for k in range(4)), ends)
                 served = [*(K.list_array(x, ends) for x in classes), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), K.list_array(places, begin))]
@@ -170,13 +183,16 @@ def windows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(batch.num_rows):
-                runs = np.array(batch.column(3)[at].as_py(), np.int64)
-                first, count = runs // SPAN, runs % SPAN
-                start = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-                for _, _, data, offsets in K.chunks(batch.column(2).slice(at, 1)):
-                    both = [pa.array(K.tree(hashes, start, np.full(start.size, MIN_WORDS)).view(np.int64)) for hashes in K.words_by(data, offsets, (0, SEED))[0]]
-                    same = [pa.array(np.full(start.size, batch.column(k)[at].as_py(), np.int64)) for k in (0, 1)]
+            for at in range(0, batch.num_rows, 128):
+                part = batch.slice(at, 128)
+                for i, j, data, offsets in K.chunks(part.column(2)):
+                    lists, (hashes, first) = part.column(3).slice(i, j - i), K.words_by(data, offsets, (0, SEED))
+                    runs, text = lists.flatten().to_numpy(), np.repeat(np.arange(j - i), lists.value_lengths().to_numpy())
+                    count = runs % SPAN
+                    start = np.repeat(runs // SPAN - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                    text = np.repeat(text, count)
+                    both = [pa.array(K.tree(h, start + first[text], np.full(start.size, MIN_WORDS)).view(np.int64)) for h in hashes]
+                    same = [part.column(k).slice(i, j - i).take(pa.array(text)) for k in (0, 1)]
                     yield pa.RecordBatch.from_arrays([*same, pa.array(start * SPAN + 1), *both], [*ID, "at", "w", "w2"])
 
     return docs.select(*ID, "text", "runs").mapInArrow(run, "doc long, x long, at long, w long, w2 long")
@@ -184,16 +200,18 @@ def windows(docs: DataFrame) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(ID, seen): packed runs of the windows of each document that are not the first of their words."""
-    all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "ac2", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.ac2", "a.at")
-    again = all_.groupBy("ah").agg(F.sum(F.size("at")).alias("n"), ((F.min("ac") < F.max("ac")) | (F.min("ac2") < F.max("ac2"))).alias("mixed")).where("n > 1").select("ah", "mixed")
-    met = scratch.cut(all_.join(again, "ah").select(*ID, "ac", "ac2", "at", "mixed"), "met")
+    # Anchors and windows are dealt by their hash once: what repeats is counted in the same exchange (so it names all columns).
+    all_ = rows.select(*ID, F.explode(F.arrays_zip("ah", "ac", "ac2", "at")).alias("a")).select(*ID, "a.ah", "a.ac", "a.ac2", "a.at").repartition("ah")
+    again = all_.groupBy("ah").agg(F.expr("count(doc, x)").alias("docs"), F.sum(F.size("at")).alias("n"), ((F.min("ac") < F.max("ac")) | (F.min("ac2") < F.max("ac2"))).alias("mixed")).where("n > 1 and docs > 0").select("ah", "mixed")
+    met = scratch.cut(all_.join(again.hint("shuffle_hash"), "ah").select(*ID, "ac", "ac2", "at", "mixed"), "met")
     classes = met.groupBy("ac", "ac2").agg(F.sum(F.size("at")).alias("n"), F.min(F.struct(*ID, F.col("at")[0].alias("at"))).alias("f"), F.max("mixed").alias("mixed"))
     classes = scratch.cut(classes, "classes")
     same = met.join(classes.where("n > 1").select("ac", "ac2", "f"), ["ac", "ac2"]).select(*ID, F.expr("if(doc = f.doc and x = f.x, slice(at, 2, size(at)), at)").alias("at")).where("size(at) > 0")
     runs = scratch.cut(classes.where("mixed").groupBy(*(F.col(f"f.{c}").alias(c) for c in ID)).agg(F.collect_list("f.at").alias("runs")), "runs")
     own = scratch.cut(windows(docs.join(runs, ID).dropDuplicates(ID)), "windows")
-    first = own.groupBy("w", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f")).where("n > 1").select("w", "w2", "f")
-    edges = own.join(first, ["w", "w2"]).where("struct(doc, x, at) <> f").select(*ID, F.array("at").alias("at"))
+    dealt = own.repartition("w", "w2")
+    first = dealt.groupBy("w", "w2").agg(F.count("*").alias("n"), F.min(F.struct(*ID, "at")).alias("f")).where("n > 1").select("w", "w2", "f")
+    edges = dealt.join(first.hint("shuffle_hash"), ["w", "w2"]).where("struct(doc, x, at) <> f").select(*ID, F.array("at").alias("at"))
     out = scratch.cut(same.unionByName(edges).groupBy(*ID).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("seen")), "seen")
     scratch.drop(met, classes, runs, own)
     return out

@@ -622,6 +622,44 @@ def test_changed_copies_of_one_text_meet_where_they_differ_from_it(spark, prose,
     assert len(met) < len(links) + 5 * len(texts) < sum(label[i] != label[j] for i in texts for j in texts if i < j) / 4
 
 
+def test_parity_bits_differ_in_no_more_places_than_the_sets():
+    from framewright.llm import textkit as K
+
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 900, dtype=np.uint64)
+    sets = [np.unique(r.choice(pool, n, replace=False)) for n in (0, 1, 40, 60, 300, 800)] + [pool[:50], pool[2:52]]
+    odd = K.parity(np.concatenate(sets), np.concatenate(([0], np.cumsum([x.size for x in sets]))), 1024)
+    differ = np.bitwise_count(odd[:, None] ^ odd[None]).sum(-1)
+    apart = np.array([[np.setxor1d(x, y).size for y in sets] for x in sets])
+    assert odd.shape == (8, 16) and (differ <= apart).all() and differ[6, 7] == 4 and not differ.diagonal().any()
+
+
+def test_pairs_of_heavy_buckets_that_are_not_alike_stay_in_their_join(spark, docs, prose):
+    """Copies changed in two places each are not alike by their sets, though many are by their short signatures: few such pairs leave the join."""
+    r, words = random.Random(4), prose(60, 4).split()
+    texts = {}
+    for i in range(150):
+        own = list(words)
+        for k in r.sample(range(60), 2):
+            own[k] = f"n{i}x{k}"
+        texts[i] = " ".join(own)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = {x.doc_id: x.text for x in op10_substring.remove_repeats(docs(list(texts.items()))).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    made, runs = 0, store.executionsList()
+    for k in range(before, runs.size()):
+        values, nodes = store.executionMetrics(runs.apply(k).executionId()), store.planGraph(runs.apply(k).executionId()).allNodes()
+        for node in (nodes.apply(j) for j in range(nodes.size())):
+            if "Join" in node.name() and "[a#" in node.desc():
+                for m in (node.metrics().apply(j) for j in range(node.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        made += int(values.apply(m.accumulatorId()).replace(",", ""))
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts.values())]
+    links = sum(100 * len(x & y) >= 80 * len(x | y) for i, x in enumerate(sets) for y in sets[:i])
+    assert 0 < made < 10 * len(texts) + links and out[0] == texts[0]
+
+
 def test_substring_dedup_cuts_repeated_passages_only(docs, prose):
     passage = ". ".join(prose(12, 900 + k).capitalize() for k in range(5)) + "."
     near = passage.split()
