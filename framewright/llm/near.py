@@ -91,7 +91,10 @@ def rare_keys(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     any order of all items they share one among each one's first size + 1 less that many. Rarest first, items of one set
     alone stand in front, and an item that all share is only reached by sets with little of their own.
     """
-    items = sets.join(members.select("id"), "id").select("id", F.size("items").alias("size"), F.explode("items").alias("key"))
+    # One row for each item of a member; members are dealt evenly, as the files of sets may hold many or none.
+    own = sets.join(members.select("id"), "id").select("id", "items")
+    own = own.repartition(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    items = own.select("id", F.size("items").alias("size"), F.explode("items").alias("key"))
     shared = items.groupBy("key").agg(F.count("*").alias("f")).where("f > 1")
     ordered = items.join(shared, "key").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("f", "key"))).alias("own"))
     # The items of one set alone are left out here, and of the first ones as many.
