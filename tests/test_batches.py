@@ -83,3 +83,17 @@ def test_canonical_rows_are_the_parsed_texts():
 
 def _screen(c: Corpus):
     return sorted(map(str, c.frames.drop("shard", "commit_seq").collect()))
+
+
+def test_export_sorts_texts_and_renders_once(spark, tmp_path, monkeypatch):
+    c = Corpus(spark, str(tmp_path / "c"))
+    c.append_text(1, "".join(con.render(frame(random.Random(k), 2)) for k in range(9)))
+    seen, rendered = [], Corpus._rendered
+    monkeypatch.setattr(Corpus, "_rendered", staticmethod(lambda texts, key: seen.append(texts._jdf.queryExecution().optimizedPlan().toString()) or rendered(texts, key)))
+    c.export_extxyz_parts(c.list_keys(), str(tmp_path / "parts"))
+    assert c.export_extxyz([(1, 3), (1, 0)], str(tmp_path / "one.xyz")) == 2
+    assert len(seen) == 2 and all(p.startswith("Sort [pos") for p in seen)
+    missing = spark.createDataFrame([(1, 0), (1, 99)], "traj_id long, frame_idx long")
+    with pytest.raises(MissingFrame):
+        c.export_extxyz_parts(missing, str(tmp_path / "none"))
+    assert not (tmp_path / "none").exists()
