@@ -85,6 +85,28 @@ def _screen(c: Corpus):
     return sorted(map(str, c.frames.drop("shard", "commit_seq").collect()))
 
 
+def test_split_and_join_copy_what_was_derived(spark, tmp_path, monkeypatch):
+    c = Corpus(spark, str(tmp_path / "c"))
+    for t in (1, 5, 6):
+        c.append_text(t, "".join(con.render(frame(random.Random(k), 3)) for k in range(t)))
+    want = _screen(c)
+    monkeypatch.setattr(con, "parse_frames", lambda *a: pytest.fail("parsed again"))
+    s = split_shards(c, str(tmp_path / "s"), 3)
+    j = join_shards(s, str(tmp_path / "j"))
+    assert _screen(s) == _screen(j) == want
+    assert sorted(map(tuple, j.blobs.drop("shard").collect())) == sorted(map(tuple, c.blobs.drop("shard").collect()))
+    assert {(r.traj_id, r.n_frames, r.source) for r in j.trajectories.collect()} == {(1, 1, "join-from-shard-1"), (5, 5, "join-from-shard-2"), (6, 6, "join-from-shard-0")}
+    monkeypatch.undo()
+    other = Corpus(spark, str(tmp_path / "md5"), hash_mode="md5")
+    text = con.render(frame(random.Random(0), 3))
+    other.append_text(9, text)
+    both = join_corpora([c, other], str(tmp_path / "both"))
+    assert both.frame_hash((9, 0)) == both.hash_text(text) and both.frames.where("is_rep").count() == 6
+    before = _screen(both)
+    assert both.reindex() == 13 and _screen(both) == before
+    assert not (tmp_path / "both" / "_projected").exists() or not list((tmp_path / "both" / "_projected").iterdir())
+
+
 def test_export_sorts_texts_and_renders_once(spark, tmp_path, monkeypatch):
     c = Corpus(spark, str(tmp_path / "c"))
     c.append_text(1, "".join(con.render(frame(random.Random(k), 2)) for k in range(9)))
