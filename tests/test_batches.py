@@ -119,3 +119,18 @@ def test_export_sorts_texts_and_renders_once(spark, tmp_path, monkeypatch):
     with pytest.raises(MissingFrame):
         c.export_extxyz_parts(missing, str(tmp_path / "none"))
     assert not (tmp_path / "none").exists()
+
+
+def test_blocks_are_coded_without_an_object_for_each_vector():
+    blocks = [soa.encode([[k, 0.5, -1.0]] * 21, [[1.0, 2.0, 3.0]] * 21 if k % 2 else None) for k in range(10_000)]
+    data = pa.array([*blocks, None, b"XXXX"])
+    tracemalloc.start()
+    got = soa.rcso_decode.func(data)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    rows = got.slice(9_999, 3).to_pylist()
+    assert rows[0]["positions"] == [{"x": 9999.0, "y": 0.5, "z": -1.0}] * 21 and rows[0]["forces"][3] == {"x": 1.0, "y": 2.0, "z": 3.0} and rows[0]["velocities"] is None
+    assert rows[1:] == [dict.fromkeys(("positions", "forces", "velocities"))] * 2
+    parts = [got.field(k) for k in range(3)]
+    assert soa.rcso_encode.func(*parts).to_pylist() == [*blocks, None, None]
