@@ -121,6 +121,12 @@ def test_export_sorts_texts_and_renders_once(spark, tmp_path, monkeypatch):
     assert not (tmp_path / "none").exists()
 
 
+@pytest.mark.parametrize("name", ["extxyz_frames", "con_parse"])
+def test_lines_are_gathered_before_they_meet_orders(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and plan.index("Join ") < plan.index("Aggregate [l_orderkey")
+
+
 def test_blocks_are_coded_without_an_object_for_each_vector():
     blocks = [soa.encode([[k, 0.5, -1.0]] * 21, [[1.0, 2.0, 3.0]] * 21 if k % 2 else None) for k in range(10_000)]
     data = pa.array([*blocks, None, b"XXXX"])
